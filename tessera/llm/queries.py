@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality_rules, rule_ensemble, secrets, sharding, simhash, token_store
+from . import byte_bpe, html_text, quality_rules, rule_ensemble, secrets, sharding, simhash, token_store
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -42,12 +42,16 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_documents(docs, rule_ensemble.train(docs, labels))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op4_byte_bpe, op5_token_output, op6_quality_rules, op7_secret_scan, op8_rule_ensemble, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op4_byte_bpe, op5_token_output, op6_quality_rules, op7_secret_scan, op8_rule_ensemble, op9_html_text, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

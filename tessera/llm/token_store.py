@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import pieces, stage, utf8
 
 MAGIC = b"TKB1"
 BLOB_BYTES = 4 << 20
@@ -96,7 +96,12 @@ class WordEncoder:
             self.words[w] = self._library(s)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Serialized ids of each text.  The kept words are bounded: they are forgotten when there are too many."""
+        """Serialized ids of each text, a few megabytes of texts at a time."""
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        return [x for lo, hi in pieces(offs, 2 << 20) for x in self._encode(texts[lo:hi])]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        """The kept words are bounded: they are forgotten when there are too many."""
         split = [t.split() for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
