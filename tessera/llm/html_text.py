@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.S)
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+#: Attributes that say what an element is.
+TELLING = re.compile(r"class|id|role|itemprop|hidden|style", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: The least share of the text outside boilerplate that the article's slot holds.
 MAIN_SHARE = 0.6
@@ -58,6 +61,18 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): htmllib.unescape((m[2] or "").strip("\"'")) for m in ATTR.finditer(text)} if text else {}
 
 
+@lru_cache(maxsize=4096)
+def nature(name: str, attr_text: str) -> tuple[frozenset[str], bool, bool]:
+    """(class and id words, says it is the article?, boilerplate or hidden?) of a start tag."""
+    attr = attributes(attr_text)
+    named = [attr.get(k, "").lower() for k in ("class", "id", "role", "itemprop")]
+    words = frozenset(w for v in named for w in re.split(r"[^a-z]+", re.sub(r"[-_]?\d+", "", v)) if w)
+    whole = frozenset(re.sub(r"[^a-z]", "", x) for v in named for x in v.split())
+    main = name in MAIN_TAGS or bool(MAIN_WORDS & whole)
+    boiler = name in BOILER_TAGS or (not main and name != "body" and bool(BOILER_WORDS & (words | whole)))
+    return words, main, boiler or "hidden" in attr or attr.get("aria-hidden") == "true" or bool(HIDDEN.search(attr.get("style", "")))
+
+
 def segments(page: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
     """(text, roles of the structural elements around it, boilerplate?, in a named article?) in page order.
 
@@ -116,12 +131,7 @@ def segments(page: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
         if m[3].rstrip().endswith("/") and name in ("svg", "path", "use"):
             continue
         top = stack[-1]
-        attr = attributes(m[3])
-        words = {w for k in ("class", "id", "role", "itemprop") for w in re.split(r"[^a-z]+", re.sub(r"[-_]?\d+", "", attr.get(k, "").lower())) if w}
-        whole = {re.sub(r"[^a-z]", "", v) for k in ("class", "id", "role", "itemprop") for v in attr.get(k, "").lower().split()}
-        main = name in MAIN_TAGS or bool(MAIN_WORDS & whole)
-        boiler = name in BOILER_TAGS or (not main and name != "body" and bool(BOILER_WORDS & (words | whole)))
-        boiler = boiler or "hidden" in attr or attr.get("aria-hidden") == "true" or bool(HIDDEN.search(attr.get("style", "")))
+        words, main, boiler = nature(name, m[3] if TELLING.search(m[3]) else "")
         header = top.in_header or (name == "header" and top.in_main and not top.boiler)
         hidden = top.boiler or boiler
         if header and name in HEADINGS and not boiler and top.in_header:
