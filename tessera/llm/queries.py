@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, quality_rules, rule_ensemble, secrets, sharding, simhash, token_store
+from . import byte_bpe, decontaminate, html_text, quality_rules, rule_ensemble, secrets, sharding, simhash, token_store
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, keep_ids=False)
 
@@ -51,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op4_byte_bpe, op5_token_output, op6_quality_rules, op7_secret_scan, op8_rule_ensemble, op9_html_text, op10_simhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_byte_bpe, op5_token_output, op6_quality_rules, op7_secret_scan, op8_rule_ensemble, op9_html_text, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
