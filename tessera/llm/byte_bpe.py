@@ -50,14 +50,14 @@ def encode(enc, text: str) -> np.ndarray:
 
 
 def encode_documents(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Encode and decode every whole text: id, ids (array<long>, if kept), n_tokens, ids_sha256, decoded_sha256, same.
+    """Encode and decode every whole text: id, ids (array<int>, if kept), n_tokens, ids_sha256, decoded_sha256, same.
 
     ``same`` tells whether the decoded bytes equal the text's.  A null text is
     empty and has no ids.  Repeated and null ids are kept as they come; an empty
     table gives no rows; other columns are not read.  One pass without a shuffle.
     """
     key = df.schema[id_col].dataType
-    fields = [T.StructField("doc_id", key)] + ([T.StructField("ids", T.ArrayType(T.LongType()))] if keep_ids else [])
+    fields = [T.StructField("doc_id", key)] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])
     fields += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("same", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +73,8 @@ def encode_documents(df: DataFrame, rank_file: str, pattern: str, id_col: str =
                 dec_sha.append(hashlib.sha256(back).hexdigest())
                 same.append(back == raw)
                 if keep_ids:
-                    kept.append(ids.astype(np.int64))
-            cols = [batch.column(0)] + ([pa.array(kept, pa.list_(pa.int64()))] if keep_ids else [])
+                    kept.append(ids.astype(np.int32))
+            cols = [batch.column(0)] + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])
             cols += [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 

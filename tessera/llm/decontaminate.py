@@ -174,27 +174,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iter
         yield rows
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document and benchmark item that aligns with it: doc_id, item_id, similarity, matches, item_words, first_word, end_word.
-
-    The benchmark is taken in blocks of a fixed number of items, each a pass over the
-    corpus for seed frequencies and one for alignments; nothing is shuffled but the seed counts, of which there are
-    no more than a block has seeds.  Null or wordless texts and items match
-    nothing.  Null ids are kept; of repeated rows each gives its rows; an item
-    shorter than three words is one seed as a whole.  An empty table gives no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
-    schema = T.StructType(
-        [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]
-        + [T.StructField(n, T.IntegerType()) for n in ("matches", "item_words", "first_word", "end_word")]
-    )
-    texts = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
-    out = None
+def filed_blocks(texts: DataFrame, benchmark: DataFrame, limits: Limits, item_id: str = "item_id", item_text: str = "text") -> Iterator:
+    """Broadcast indexes, one for each block of items, with every item filed under its rarest seeds in ``texts`` (a column raw of bytes)."""
+    context = texts.sparkSession.sparkContext
     for rows in _blocks(benchmark, item_id, item_text, limits.block_items):
         index = Index(rows, limits.similarity)
         if not index.items:
             continue
-        shared = spark.sparkContext.broadcast(index)
+        shared = context.broadcast(index)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -208,7 +195,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
 
         counted = texts.select("raw").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         index.keep_rare({r["seed"]: r["n"] for r in counted.collect()})
-        filed = spark.sparkContext.broadcast(index)
+        yield context.broadcast(index)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that align with no benchmark item, with all their columns."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for filed in filed_blocks(docs.select(utf8(text_col).alias("raw")), benchmark, limits, item_id, item_text):
+
+        def clean(batches: Iterator[pa.RecordBatch], filed=filed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not text_leaks(filed.value, x or "") for x in b.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row for each document and benchmark item that aligns with it: doc_id, item_id, similarity, matches, item_words, first_word, end_word.
+
+    The benchmark is taken in blocks of a fixed number of items, each a pass over the
+    corpus for seed frequencies and one for alignments; nothing is shuffled but the seed counts, of which there are
+    no more than a block has seeds.  Null or wordless texts and items match
+    nothing.  Null ids are kept; of repeated rows each gives its rows; an item
+    shorter than three words is one seed as a whole.  An empty table gives no rows; other columns are not read.
+    """
+    schema = T.StructType(
+        [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]
+        + [T.StructField(n, T.IntegerType()) for n in ("matches", "item_words", "first_word", "end_word")]
+    )
+    texts = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
+    out = None
+    for filed in filed_blocks(texts, benchmark, limits, item_id, item_text):
 
         def align(batches: Iterator[pa.RecordBatch], shared=filed) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -219,4 +238,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
 
         leaks = texts.mapInArrow(align, schema)
         out = leaks if out is None else out.unionByName(leaks)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)

@@ -161,6 +161,30 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "d
     return Model(w.astype(np.float32), b, *calibrate(m, np.array([r[0] for r in held], float)))
 
 
+def judge(x: Batch, m: Model | None, limits: Limits) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(base counts, base_failed, probability, kept) of a batch; NaN probabilities without a model."""
+    base = base_counts(x)
+    failed = (base["n_words"] < limits.least_words) | (100 * base["n_repeat_words"] > limits.repeat_percent * base["n_words"])
+    p = _sigmoid(m.slope * margins(x, m.weights, m.bias) + m.intercept) if m else np.full(x.docs, np.nan)
+    return base, failed, p, ~failed & ((p >= limits.least_probability) if m else True)
+
+
+def keep_documents(df: DataFrame, model: Model | None, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
+    """The rows that the rules keep, with all their columns, in one pass over Arrow batches."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(at).fill_null("").cast(pa.large_binary())
+            data, offs = buffer_of(raw)
+            for lo, hi in pieces(offs, PIECE):
+                kept = judge(Batch(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), shared.value, limits)[3]
+                yield b.slice(lo, hi - lo).filter(pa.array(kept))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def score_quality(df: DataFrame, model: Model | None, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts, base_failed, probability and kept for every row, in one pass over Arrow batches.
 
@@ -178,10 +202,7 @@ def score_quality(df: DataFrame, model: Model | None, limits: Limits = Limits(),
             data, offs = buffer_of(b.column(1))
             for lo, hi in pieces(offs, PIECE):
                 x = Batch(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                base = base_counts(x)
-                failed = (base["n_words"] < limits.least_words) | (100 * base["n_repeat_words"] > limits.repeat_percent * base["n_words"])
-                p = _sigmoid(m.slope * margins(x, m.weights, m.bias) + m.intercept) if m else np.full(x.docs, np.nan)
-                kept = ~failed & ((p >= limits.least_probability) if m else True)
+                base, failed, p, kept = judge(x, m, limits)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(base[n].astype(np.int64)) for n in names), pa.array(failed), pa.array(p, from_pandas=True), pa.array(kept)], names=schema.fieldNames())
 
     return df.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, quality_rules, rule_ensemble, secrets, sharding, simhash, token_store
+from . import byte_bpe, decontaminate, html_text, quality_rules, rule_ensemble, secrets, sharding, simhash, suffix_dedup, token_store
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN, keep_ids=False)
 
@@ -54,9 +58,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_byte_bpe, op5_token_output, op6_quality_rules, op7_secret_scan, op8_rule_ensemble, op9_html_text, op10_simhash)}
+    found = (
+        op1_sharding, op2_decontamination, op3_suffix_dedup, op4_byte_bpe, op5_token_output, op6_quality_rules, op7_secret_scan, op8_rule_ensemble, op9_html_text, op10_simhash, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these can be said in SQL; tests/llm holds each against brute force, a round trip or held-out labels."""
     return {}

@@ -154,3 +154,27 @@ def scan_secrets(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
 
     raw = F.col(text_col).cast("binary") if redacted else utf8(text_col)
     return df.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).mapInArrow(run, T.StructType(fields))
+
+
+def redact_documents(df: DataFrame, rules: Rules = Rules(), text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, each secret in the text replaced by a mark; ``chars_col`` follows where there is one."""
+    at = df.columns.index(text_col)
+    chars = df.columns.index(chars_col) if chars_col in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns)
+            texts, changed = cols[at].to_pylist(), False
+            sizes = cols[chars].to_pylist() if chars is not None else None
+            for i, t in enumerate(texts):
+                if t and (found := (base := base_spans(t)) + entropy_spans(t, base, rules)):
+                    texts[i], changed = redact(t, found), True
+                    if sizes is not None:
+                        sizes[i] = len(texts[i])
+            if changed:
+                cols[at] = pa.array(texts, cols[at].type)
+                if sizes is not None:
+                    cols[chars] = pa.array(sizes, cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)

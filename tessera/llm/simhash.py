@@ -110,6 +110,12 @@ def links(fps: DataFrame, m: int = SEGMENTS, t: int = DISTANCE, group: int = GRO
     return pairs.union(stars).distinct()
 
 
+def _lowest(fps: DataFrame) -> DataFrame:
+    """fp, root: the component of every distinct fingerprint."""
+    roots = components(links(fps.select("fp")))
+    return fps.select("fp").join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: the smallest id reachable over links of at most two bits.
 
@@ -120,8 +126,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = stage(fingerprints(df, id_col, text_col, width), "fingerprints")
     fps = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = components(links(fps.select("fp")))
-    placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = fps.join(_lowest(fps), "fp")
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return docs.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: that of the smallest id (a null id comes last; of repeated ids one row).
+
+    Rows are told apart by file and row number of a staged copy, so that the last
+    join, the only one that moves texts, has distinct keys whatever the groups' sizes.
+    """
+    at = df.columns.index(text_col)
+    schema = T.StructType([*df.schema.fields, T.StructField("__fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.array([fingerprint((t.as_py() or "").encode(), width) for t in b.column(at)], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=schema.fieldNames())
+
+    rows = stage(df.mapInArrow(run, schema), "documents").withColumn("__file", F.col("_metadata.file_name")).withColumn("__row", F.col("_metadata.row_index"))
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__file").alias("__file"), F.col("__row").alias("__row"))
+    fps = stage(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("least")), "fps")
+    chosen = fps.join(_lowest(fps), "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.__file", "least.__row")
+    return rows.join(chosen, ["__file", "__row"], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
