@@ -1,11 +1,756 @@
-"""Registered queries over the reference's operators."""
+"""Registered queries over the operators, each with the SQL that must give the same rows.
+
+Clinical roles on the given tables: person is a user, customer or supplier; tenant a
+nation or line number; a code is an event type or part type; a measurement is an event's value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import demographics as dem
+from ..functions import gamma
+from ..functions.dates import date_parts, mark_unknown
+from ..functions.schema import flatten, select_by_regex
+from ..operators import analytics, codes, cohort, concepts, extraction, indexing, matching, measurements, ontology, profiling
+from ..session import table as T
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+
+
+# --- codes and extraction -------------------------------------------------------------------------------------------
+
+BUY = {"buy": "^purch", "sign": "sign|view", "any": "e"}
+
+
+@query("""SELECT p_partkey, p_type, g AS "group" FROM part JOIN (VALUES ('big', 'LARGE|MEDIUM'), ('offer', '^(PROMO|ECON)'), ('em', 'EM|IUM')) v(g, p) ON regexp_matches(p_type, p)""")
+def regex_code_verify(spark, d):
+    lists = codes.code_list(spark, {"big": "LARGE|MEDIUM", "offer": "^(PROMO|ECON)", "em": "EM|IUM"})
+    return codes.verify(T(spark, d, "part"), lists, "regex", "p_type", ["p_partkey", "p_type"])
+
+
+@query("""SELECT DISTINCT event_type, g AS "group" FROM events JOIN (VALUES ('buy', '^purch'), ('sign', 'sign|view'), ('any', 'e')) v(g, p) ON regexp_matches(event_type, p)""")
+def regex_verify_dictionary(spark, d):
+    return codes.verify_by_pattern(codes.dictionary(T(spark, d, "events"), ["event_type"]), "event_type", codes.code_list(spark, BUY), distinct_first=False)
+
+
+@query("SELECT p_partkey, p_brand, 'like' AS label FROM part WHERE p_brand LIKE 'Brand#1%' UNION ALL SELECT p_partkey, p_brand, 'like2' FROM part WHERE p_brand LIKE '%2'")
+def like_code_verify(spark, d):
+    lists = codes.code_list(spark, {"like": "Brand#1%", "like2": "%2"})
+    return codes.verify(T(spark, d, "part"), lists, "regex", "p_brand", ["p_partkey", "p_brand"], label="label", kind="like")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#3', 'Brand#7')")
+def merge_code_verify(spark, d):
+    return codes.verify_by_merge(T(spark, d, "part"), ["Brand#3", "Brand#7", "Brand#3"], "p_brand").select("p_partkey", "p_brand")
+
+
+@query("SELECT DISTINCT p_type, p_brand FROM part")
+def dictionary_build(spark, d):
+    return codes.dictionary(T(spark, d, "part"), ["p_type", "p_brand"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def extract_inner(spark, d):
+    who = T(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return extraction.extract(T(spark, d, "orders"), who, ["o_custkey"], fields=["o_orderkey", "o_custkey", "o_orderdate", "c_mktsegment"])
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def extract_left_attach(spark, d):
+    who = T(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return extraction.extract(T(spark, d, "orders"), who, ["o_custkey"], how="left", fields=["o_orderkey", "o_custkey", "c_mktsegment"])
+
+
+@query("""WITH f AS (SELECT o_custkey, min(o_orderdate) AS d FROM orders GROUP BY 1)
+SELECT o_orderkey, o.o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders o JOIN f ON o.o_custkey = f.o_custkey WHERE CAST(o_orderdate AS DATE) BETWEEN CAST(d AS DATE) - 30 AND CAST(d AS DATE) + 90""")
+def extract_relative_window(spark, d):
+    o = T(spark, d, "orders")
+    first = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
+    out = extraction.extract(o, first, ["o_custkey"], date="o_orderdate", reference="first_order", start=-30, stop=90)
+    return out.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND user_id < 50")
+def extract_absolute_window(spark, d):
+    e = T(spark, d, "events")
+    return extraction.extract(e, e.where("user_id < 50").select("user_id"), ["user_id"], date="ts", start="2024-01-05", stop="2024-01-20", fields=["event_id", "user_id"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')")
+def cohort_semi(spark, d):
+    urgent = T(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    items = T(spark, d, "lineitem")
+    return extraction.extract(items, items.select("l_orderkey"), ["l_orderkey"], cohort=urgent, fields=["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey, c_custkey AS o_custkey, c_acctbal AS o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
+def collision_exclude(spark, d):
+    side = T(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"))
+    return extraction.extract(T(spark, d, "orders"), side, ["o_custkey"], fields=["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@query("""SELECT c_custkey AS k, n_orders, n_urgent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) a ON c_custkey = a.o_custkey
+LEFT JOIN (SELECT o_custkey, count(*) AS n_urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) b ON c_custkey = b.o_custkey""")
+def panel_spine_features(spark, d):
+    o = T(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    a = o.groupBy("k").agg(F.count("*").alias("n_orders"))
+    b = o.where("o_orderpriority = '1-URGENT'").groupBy("k").agg(F.count("*").alias("n_urgent"))
+    return extraction.attach(T(spark, d, "customer").select(F.col("c_custkey").alias("k")), [a, b], ["k"])
+
+
+@query("""SELECT a.o_custkey, a.year, n_f, n_o FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) a
+JOIN (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_o FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2) b ON a.o_custkey = b.o_custkey AND a.year = b.year""")
+def overlap_person_year(spark, d):
+    o = T(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    side = lambda s, n: o.where(F.col("o_orderstatus") == s).groupBy("o_custkey", "year").agg(F.count("*").alias(n))
+    return extraction.overlap(side("F", "n_f"), side("O", "n_o"), ["o_custkey", "year"])
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def identify_level(spark, d):
+    return extraction.with_level(T(spark, d, "orders"), "o_orderstatus", "P", ["o_custkey"])
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey = 7 ORDER BY c_custkey LIMIT 5")
+def tenant_sample(spark, d):
+    return extraction.sample_of_tenant(T(spark, d, "customer"), 7, 5, ["c_custkey"], column="c_nationkey").select("c_custkey", "c_nationkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_custkey LIMIT 1)")
+def show_first(spark, d):
+    return extraction.rows_of_top(T(spark, d, "orders"), "o_totalprice", "o_custkey").select("o_orderkey", "o_custkey")
+
+
+# --- index tables -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, min(ts) AS index_buy, max(ts) AS last_buy, count(*) AS entries_buy, count(DISTINCT CAST(ts AS DATE)) AS days_buy FROM events WHERE regexp_matches(event_type, '^purch') GROUP BY 1""")
+def index_person(spark, d):
+    e = T(spark, d, "events")
+    lists = codes.code_list(spark, {"buy": "^purch"})
+    found = codes.verify(codes.dictionary(e, ["event_type"]), lists, "regex", "event_type", ["event_type"])
+    rows = extraction.extract(e, found.drop("group"), ["event_type"], broadcast=True)
+    out = indexing.index_table(rows, "user_id", "ts", "buy").drop("encounter_days_buy")
+    days = indexing.index_table(rows.select("user_id", F.to_date("ts").alias("day")), "user_id", "day", "day").select("user_id", F.col("encounter_days_day").alias("days_buy"))
+    return out.join(days, "user_id")
+
+
+@query("""SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, min(o_orderdate) AS index_order, max(o_orderdate) AS last_order, count(*) AS entries_order, count(DISTINCT o_orderdate) AS encounter_days_order FROM orders GROUP BY 1, 2""")
+def index_person_year(spark, d):
+    return indexing.index_table(T(spark, d, "orders"), ["o_custkey", "year"], "o_orderdate", "order")
+
+
+STAY = "(SELECT o_custkey, o_orderdate, greatest(coalesce(max(l_shipdate), o_orderdate), o_orderdate) AS stop, o_orderkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 4)"
+
+
+def stays(spark, d):
+    ship = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("stop"))
+    return T(spark, d, "orders").join(ship, "o_orderkey", "left").select("o_orderkey", "o_custkey", "o_orderdate", "stop", "o_orderpriority")
+
+
+@query(f"""SELECT o_custkey, min(o_orderdate) AS index_stay, arg_max(stop, (o_orderdate, stop)) AS last_stay, count(*) AS entries_stay, count(DISTINCT o_orderdate) AS encounter_days_stay, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM {STAY} GROUP BY 1""")
+def index_with_stop(spark, d):
+    return indexing.index_table(stays(spark, d), "o_custkey", "o_orderdate", "stay", stop="stop", retained=["o_orderkey"], sort_fields=["o_orderkey"])
+
+
+@query(f"SELECT o_custkey, max(stop) AS last_stay FROM {STAY} WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1")
+def index_last_max(spark, d):
+    return indexing.index_table(stays(spark, d), "o_custkey", "o_orderdate", "stay", stop="stop", last_mode="max", start="1997-01-01").select("o_custkey", "last_stay")
+
+
+def courses_sql(source: str, keys: str, begun: str, ended: str, gap: int, code: str) -> str:
+    return f"""WITH daily AS (SELECT {keys} AS k, {begun} AS b, max({ended}) AS e, count(*) AS n FROM {source} GROUP BY 1, 2),
+ent AS (SELECT k, min(b) AS first, arg_max(e, (b, e)) AS last, CAST(sum(n) AS BIGINT) AS entries, count(b) AS days FROM daily GROUP BY 1),
+nx AS (SELECT d.k, b, e, first, last, entries, days, date_diff('day', CAST(e AS DATE), CAST(lead(b) OVER (PARTITION BY d.k ORDER BY b) AS DATE)) AS gap FROM daily d JOIN ent USING (k)),
+en AS (SELECT *, CASE WHEN coalesce(gap <= {gap}, false) OR e = last THEN 0 ELSE 1 END AS ends FROM nx),
+co AS (SELECT *, CAST(sum(ends) OVER (PARTITION BY k ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS INTEGER) AS course FROM en)
+SELECT k AS {keys}, min(first) AS index_{code}, min(last) AS last_{code}, min(entries) AS entries_{code}, min(days) AS encounter_days_{code}, course AS course_of_therapy_{code}, min(b) AS index_therapy_{code},
+arg_max(e, (b, e)) AS last_therapy_{code}, count(b) AS encounter_days_for_course_{code}, CAST(max(CASE WHEN ends = 0 THEN gap END) AS INTEGER) AS max_gap_{code} FROM co GROUP BY k, course"""
+
+
+@query(courses_sql("(SELECT * FROM events WHERE event_type = 'purchase')", "user_id", "ts", "ts", 2, "rx"))
+def index_courses_gap(spark, d):
+    return indexing.index_table(T(spark, d, "events").where("event_type = 'purchase'"), "user_id", "ts", "rx", max_gap=2)
+
+
+@query(courses_sql(STAY, "o_custkey", "o_orderdate", "stop", 60, "stay"))
+def index_courses_interval(spark, d):
+    return indexing.index_table(stays(spark, d), "o_custkey", "o_orderdate", "stay", stop="stop", max_gap=60)
+
+
+@query("SELECT o_custkey, o_orderstatus, count(*) AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1999-12-31' GROUP BY 1, 2")
+def usage_stats(spark, d):
+    return indexing.usage(T(spark, d, "orders"), ["o_custkey", "o_orderstatus"], ["o_orderdate"], "1996-01-01", "1999-12-31", count_name="n")
+
+
+@query("""SELECT CAST(coalesce(year(t), -1) AS INTEGER) AS year, CAST(coalesce(month(t), -1) AS INTEGER) AS month, t IS NULL AS year_is_unknown, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS t FROM events) GROUP BY ALL""")
+def unknown_date_sentinel(spark, d):
+    e = T(spark, d, "events").withColumn("t", F.when(F.col("event_id") % 5 != 0, F.col("ts")))
+    return date_parts(e, "t", ["year", "month"]).groupBy("year", "month", "year_is_unknown").agg(F.count("*").alias("n"))
+
+
+# --- tabulations and summaries ----------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, user_id, count(*) AS count FROM events GROUP BY 1, 2 ORDER BY count DESC, event_type, user_id LIMIT 25")
+def tabulate_count(spark, d):
+    return analytics.tabulate(T(spark, d, "events"), ["event_type", "user_id"], limit=25)
+
+
+@query("SELECT event_type, count(*) AS count, count(DISTINCT user_id) AS n_user_id FROM events GROUP BY 1 ORDER BY n_user_id DESC, event_type LIMIT 50")
+def tabulate_distinct(spark, d):
+    return analytics.tabulate(T(spark, d, "events"), ["event_type"], "user_id", order_by="n_user_id")
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_persons, min(least(o_orderdate, l_shipdate)) AS first_date, max(greatest(o_orderdate, l_shipdate)) AS last_date FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def attrition_stats(spark, d):
+    both = T(spark, d, "orders").join(T(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return profiling.attrition(both, "o_custkey", ["o_orderdate", "l_shipdate"])
+
+
+@query("SELECT count(DISTINCT user_id) AS n_persons FROM events")
+def person_count(spark, d):
+    return profiling.count_people(T(spark, d, "events"), "user_id")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1999-01-01' GROUP BY 1 ORDER BY count(*) DESC, o_custkey LIMIT 10) AND o_orderdate > TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1999-01-01'""")
+def top_entities(spark, d):
+    return profiling.top_entities(T(spark, d, "orders"), "o_custkey", 10, "o_orderdate", "1996-01-01", "1999-01-01").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def sorted_sample(spark, d):
+    return T(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT l_returnflag, count(DISTINCT l_suppkey) AS "Unique_l_suppkey", round(avg(l_quantity), 4) AS average, min(l_quantity) AS min, max(l_quantity) AS max, quantile_cont(l_quantity, 0.25) AS "Q1", quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS "Q3"
+FROM (SELECT DISTINCT l_suppkey, l_returnflag, l_quantity FROM lineitem) GROUP BY 1""")
+def five_number(spark, d):
+    return rounded(analytics.five_number_summary(T(spark, d, "lineitem"), ["l_suppkey"], ["l_returnflag"], "l_quantity"), "average")
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) GROUP BY 1""")
+def pivot_counts(spark, d):
+    e = T(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return analytics.pivot_counts(e, ["user_id"], "event_type", ["day"], values=["click", "error", "purchase"])
+
+
+@query("""SELECT event_id, name, 1.0::DOUBLE AS value FROM (SELECT event_id, (event_type = 'click') AS click, (event_type = 'view') AS view, (value > 20) AS big FROM events) UNPIVOT (v FOR name IN (click, view, big)) WHERE v""")
+def unpivot_indicators(spark, d):
+    e = T(spark, d, "events").select("event_id", (F.col("event_type") == "click").cast("int").alias("click"), (F.col("event_type") == "view").cast("int").alias("view"), (F.col("value") > 20).cast("int").alias("big"))
+    return analytics.unpivot_indicators(e, ["event_id"], ["click", "view", "big"])
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 4) AS mean_q, round(max(l_quantity), 4) AS max_q, round(min(l_quantity), 4) AS min_q, count(DISTINCT l_suppkey) AS l_suppkey_distinct_count FROM lineitem GROUP BY 1")
+def aggregate_fields(spark, d):
+    rows = T(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity")
+    return rounded(analytics.aggregate_fields(rows, ["l_suppkey"], ["l_quantity"], ["avg", "max", "min"], ["mean_q", "max_q", "min_q"]), "mean_q", "max_q", "min_q")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(DISTINCT l_suppkey) AS l_suppkey_distinct_count FROM lineitem GROUP BY 1, 2")
+def aggregate_fields_count(spark, d):
+    return analytics.distinct_counts(T(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"), ["l_suppkey"], ["l_quantity"])
+
+
+@query("SELECT p_type, count(DISTINCT p_brand) AS count FROM part GROUP BY 1")
+def group_nunique(spark, d):
+    return analytics.distinct_by(T(spark, d, "part"), "p_type", "p_brand")
+
+
+@query("SELECT event_type, count(*) AS count, round(ln(count(*)), 6) AS log_count FROM events GROUP BY 1")
+def log_counts(spark, d):
+    return rounded(analytics.log_counts(T(spark, d, "events"), "event_type"), "log_count", digits=6)
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS period, event_type, count(*) AS count FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-25' GROUP BY 1, 2")
+def time_counts(spark, d):
+    out = profiling.time_counts(T(spark, d, "events"), "ts", "week", ["event_type"], "2024-01-03", "2024-01-25")
+    return out.withColumn("period", F.to_date("period"))
+
+
+@query("""SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type, count(DISTINCT user_id) AS count, round(count(DISTINCT user_id) / sum(count(DISTINCT user_id)) OVER (PARTITION BY date_trunc('day', ts)), 6) AS proportion FROM events GROUP BY date_trunc('day', ts), event_type""")
+def time_proportions(spark, d):
+    out = profiling.time_counts(T(spark, d, "events"), "ts", "day", ["event_type"], proportion=True, distinct="user_id")
+    return rounded(out.withColumn("period", F.to_date("period")), "proportion", digits=6)
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey), 6) AS proportion FROM customer GROUP BY 1, 2")
+def group_proportions(spark, d):
+    return rounded(analytics.proportions(T(spark, d, "customer"), ["c_nationkey", "c_mktsegment"], ["c_nationkey"]), "proportion", digits=6)
+
+
+OE_SQL = """WITH e AS (SELECT user_id, event_type, CAST(hour(ts) AS INTEGER) // 6 AS part FROM events), a AS (SELECT part, event_type, count(DISTINCT user_id) AS a FROM e GROUP BY 1, 2),
+g AS (SELECT part, count(DISTINCT user_id) AS ab FROM e GROUP BY 1), o AS (SELECT event_type, count(DISTINCT user_id) AS ac FROM e GROUP BY 1), n AS (SELECT count(DISTINCT user_id) AS n FROM e)
+SELECT CAST(part AS INTEGER) AS part, event_type, a AS "observed_A", ab AS "group_A_B", ac AS "event_A_C", n AS "total_A_B_C_D", round(ab * ac / n, 6) AS expected_total, round(a / (ab * ac / n), 6) AS observed_over_expected, round((a + 1) / (ab * ac / n + 1), 6) AS "observed_over_expected_Adj"
+FROM a JOIN g USING (part) JOIN o USING (event_type) CROSS JOIN n"""
+
+
+def _parts_of_day(spark, d):
+    return T(spark, d, "events").select("user_id", "event_type", F.floor(F.hour("ts") / 6).cast("int").alias("part"))
+
+
+@query(OE_SQL)
+def oe_ratios(spark, d):
+    out = analytics.observed_expected(_parts_of_day(spark, d), ["user_id"], ["part"], ["event_type"], signals=False)
+    cols = ["part", "event_type", "observed_A", "group_A_B", "event_A_C", "total_A_B_C_D", "expected_total", "observed_over_expected", "observed_over_expected_Adj"]
+    return rounded(out.select(*cols), "expected_total", "observed_over_expected", "observed_over_expected_Adj", digits=6)
+
+
+@query(None)
+def oe_signal(spark, d):
+    return analytics.observed_expected(_parts_of_day(spark, d), ["user_id"], ["part"], ["event_type"])
+
+
+@query("""SELECT event_id, round(list_sum(list_transform(range(0, 1 + user_id % 7), lambda i: exp(-(0.5 + value / 10) + i * ln(0.5 + value / 10) - lgamma(i + 1)))), 9) AS sf FROM events WHERE event_id < 500""")
+def gamma_survival(spark, d):
+    e = T(spark, d, "events").where("event_id < 500")
+    return rounded(e.select("event_id", gamma.gamma_survival(1 + F.col("user_id") % 7, F.lit(1.0), 0.5 + F.col("value") / 10).alias("sf")), "sf", digits=9)
+
+
+@query("""SELECT c_mktsegment, 'c_acctbal' AS characteristic, CAST(NULL AS VARCHAR) AS level, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS sd, CAST(NULL AS DOUBLE) AS share FROM customer GROUP BY 1
+UNION ALL SELECT c_mktsegment, 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*), NULL, NULL, round(count(*) / sum(count(*)) OVER (PARTITION BY c_mktsegment), 4) FROM customer GROUP BY c_mktsegment, c_nationkey""")
+def stratified_baseline(spark, d):
+    return rounded(analytics.stratified_baseline(T(spark, d, "customer"), ["c_mktsegment"], ["c_acctbal"], ["c_nationkey"]), "mean", "sd", "share")
+
+
+# --- measurements -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, count(*) AS lab_n, min(value) AS lab_min, max(value) AS lab_max, round(quantile_cont(value, 0.5), 6) AS lab_median, max(value) AS lab_peak, CAST(min(ts) AS DATE) AS lab_first_date, CAST(max(ts) AS DATE) AS lab_last_date, arg_min(value, (ts, value)) AS lab_first_value, arg_max(value, (ts, value)) AS lab_last_value, min(event_type) AS lab_unit, count(DISTINCT event_type) AS lab_unit_n
+FROM events WHERE event_type IN ('click', 'view') AND coalesce(event_id % 11 <> 0, true) GROUP BY 1""")
+def lab_distill(spark, d):
+    e = T(spark, d, "events").withColumn("bad", F.when(F.col("event_id") % 3 != 1, F.col("event_id") % 11 == 0).otherwise(F.when(F.col("event_id") % 11 == 0, F.lit(True))))
+    out = measurements.distill(e, "value", "ts", ["user_id"], test="event_type", tests=["click", "view"], invalid="bad", unit="event_type", median="exact")
+    return rounded(out, "lab_median", digits=6)
+
+
+@query("""WITH r AS (SELECT user_id, CAST(quantile_disc(ts, 0.5) AS DATE) AS ref FROM events GROUP BY 1), x AS (SELECT e.user_id, value, CAST(ts AS DATE) AS day, TIMESTAMP '2024-01-15' AS ref FROM events e)
+SELECT user_id, max(CASE WHEN day < CAST(ref AS DATE) THEN value END) AS t_pre_peak, max(CASE WHEN day >= CAST(ref AS DATE) AND day <= CAST(ref AS DATE) + 7 THEN value END) AS t_post_peak, count(CASE WHEN day < CAST(ref AS DATE) THEN 1 END) AS t_pre_n, count(CASE WHEN day >= CAST(ref AS DATE) AND day <= CAST(ref AS DATE) + 7 THEN 1 END) AS t_post_n,
+round(max(CASE WHEN day >= CAST(ref AS DATE) AND day <= CAST(ref AS DATE) + 7 THEN value END) - max(CASE WHEN day < CAST(ref AS DATE) THEN value END), 6) AS t_post_delta, max(CASE WHEN day >= CAST(ref AS DATE) AND day <= CAST(ref AS DATE) + 7 THEN day END) AS t_post_last_date FROM x GROUP BY 1""")
+def lab_distill_prepost(spark, d):
+    e = T(spark, d, "events").withColumn("ref", F.lit("2024-01-15").cast("date"))
+    out = measurements.distill(e, "value", "ts", ["user_id"], "t", reference="ref", post_days=7)
+    return rounded(out.select("user_id", "t_pre_peak", "t_post_peak", "t_pre_n", "t_post_n", "t_post_delta", "t_post_last_date"), "t_post_delta", digits=6)
+
+
+@query("""WITH p AS (SELECT o_custkey, max(o_orderdate) AS followdate, CAST(min(year(o_orderdate)) AS INTEGER) AS yearofbirth FROM orders GROUP BY 1)
+SELECT o.o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), CAST(followdate AS DATE)) BETWEEN 0 AND 365 AS baseline_period, year(o_orderdate) - yearofbirth <= 1 AS followed_from_birth FROM orders o JOIN p USING (o_custkey)""")
+def baseline_flags(spark, d):
+    o = T(spark, d, "orders")
+    p = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("followdate"), F.min(F.year("o_orderdate")).alias("yearofbirth"))
+    return measurements.baseline_flags(o, p, "o_orderdate", ["o_custkey"], values=["o_orderkey"]).select("o_orderkey", "baseline_period", "followed_from_birth")
+
+
+@query("""WITH x AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, value FROM events), l AS (SELECT *, lag(day) OVER w AS pd, lag(value) OVER w AS pv FROM x WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day, value)),
+c AS (SELECT *, CASE WHEN date_diff('day', pd, day) > 0 THEN (value - pv) / date_diff('day', pd, day) END AS ch FROM l)
+SELECT user_id, event_type, count(*) AS measurement_count, count(DISTINCT day) AS distinct_dates, min(day) AS first_date, max(day) AS last_date, CAST(date_diff('day', min(day), max(day)) AS INTEGER) AS date_span, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS stddev_value, min(value) AS min_value, max(value) AS max_value, round(quantile_cont(value, 0.5), 6) AS median_value,
+round(avg(ch), 6) AS avg_daily_change, round(min(ch), 6) AS min_daily_change, round(max(ch), 6) AS max_daily_change, round(max(value) - min(value), 6) AS value_range, CASE WHEN avg(value) <> 0 THEN round(stddev_samp(value) / abs(avg(value)), 6) END AS coefficient_variation, CASE WHEN avg(value) <> 0 THEN round((max(value) - min(value)) / abs(avg(value)), 6) END AS normalized_range,
+CASE WHEN date_diff('day', min(day), max(day)) > 0 THEN round(count(*) / date_diff('day', min(day), max(day)), 6) ELSE 1.0 END AS measurements_per_day, CASE WHEN count(*) < 2 THEN 'insufficient_data' WHEN avg(ch) IS NULL THEN 'no_trend' WHEN avg(ch) > 0.01 THEN 'increasing' WHEN avg(ch) < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend_direction FROM c GROUP BY 1, 2 HAVING count(*) >= 3""")
+def measurement_features(spark, d):
+    e = T(spark, d, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), "value")
+    out = measurements.features(e, ["event_type"], "value", "day", ["user_id"], least=3)
+    return rounded(out, "mean_value", "stddev_value", "median_value", "avg_daily_change", "min_daily_change", "max_daily_change", "value_range", "coefficient_variation", "normalized_range", "measurements_per_day", digits=6)
+
+
+# --- demographics and matching ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, CASE WHEN a >= 0 AND a < 18 THEN '<18' WHEN a >= 18 AND a < 35 THEN '18-34' WHEN a >= 35 AND a < 50 THEN '35-49' WHEN a >= 50 AND a < 65 THEN '50-64' WHEN a >= 65 AND a < 80 THEN '65-79' WHEN a >= 80 AND a < 200 THEN '80+' ELSE 'Unknown' END AS age_group FROM (SELECT c_custkey, CAST(floor(c_acctbal / 100) AS INTEGER) AS a FROM customer)""")
+def age_groups(spark, d):
+    return T(spark, d, "customer").select("c_custkey", dem.age_group(F.floor(F.col("c_acctbal") / 100).cast("int")).alias("age_group"))
+
+
+TERMS = [
+    "Hispanic or Latino", "Cuban", "Asian Indian", "White", "caucasian", "Black or African American", "Unmarried", "never married", "Widowed", "M", "female", "Native Hawaiian", "Pakistani", "Jamaican", "Mixed racial group",
+    "divorced", "x", "Hispanic, white", "Korean", "alaska", "SINGLE", "latino", "f", "Other", "European",
+]
+
+
+def _terms_sql() -> str:
+    case = lambda patterns: "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}', 'i') THEN '{g}'" for g, p in patterns.items()) + " ELSE 'Other/Unknown' END"
+    terms = lambda groups, other: "CASE " + " ".join("WHEN t IN ({}) THEN '{}'".format(", ".join(f"'{x}'" for x in xs), g) for g, xs in groups.items()) + f" ELSE '{other}' END"
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS))
+    return f"""SELECT n_nationkey, {terms({'Hispanic': dem.HISPANIC_ETHNICITIES}, 'Not Hispanic')} AS ethnicity, {terms(dem.RACES, dem.OTHER)} AS race, {case(dem.RACE_PATTERNS)} AS race2, {case(dem.GENDER_PATTERNS)} AS gender, {case(dem.MARITAL_PATTERNS)} AS marital
+FROM nation JOIN (VALUES {values}) v(i, t) ON n_nationkey = i"""
+
+
+@query(_terms_sql())
+def demographic_groups(spark, d):
+    t = F.element_at(F.array(*(F.lit(x) for x in TERMS)), F.col("n_nationkey") + 1)
+    return T(spark, d, "nation").select(
+        "n_nationkey", dem.ethnicity_group(t).alias("ethnicity"), dem.race_group(t).alias("race"), dem.race_group_by_pattern(t).alias("race2"), dem.gender_group(t).alias("gender"), dem.marital_group(t).alias("marital")
+    )
+
+
+@query("SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS z_c_acctbal FROM customer")
+def standardize(spark, d):
+    return rounded(matching.standardize(T(spark, d, "customer"), ["c_acctbal"]), "z_c_acctbal", digits=6).select("c_custkey", "z_c_acctbal")
+
+
+def _people(spark, d):
+    n = T(spark, d, "orders").groupBy(F.col("o_custkey").alias("personid")).agg(F.count("*").alias("encounters"))
+    c = T(spark, d, "customer").select(F.col("c_custkey").alias("personid"), F.col("c_mktsegment").alias("gender"), (F.col("c_nationkey") % 5).alias("race"), F.floor(F.abs("c_acctbal") / 150).cast("int").alias("age"))
+    return c.join(n, "personid", "left").fillna(0, ["encounters"])
+
+
+def _sides(spark, d):
+    p = _people(spark, d)
+    return matching.prepare(p, p.where("personid % 10 = 0"), p.where("personid % 10 = 1"), strata=["gender", "race"], distances=["age", "encounters"])
+
+
+@query("""WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT c_custkey AS personid, c_mktsegment AS gender, CAST(floor(abs(c_acctbal) / 150) AS INTEGER) AS age, coalesce(n, 0) AS encounters FROM customer LEFT JOIN n ON c_custkey = o_custkey),
+c AS (SELECT * FROM p WHERE personid % 10 > 1), s AS (SELECT avg(age) AS m, stddev_samp(age) AS sd FROM c)
+SELECT personid, round((age - m) / sd, 6) AS z_age, CASE WHEN age < 3 THEN 'Infants and Toddlers' WHEN age < 6 THEN 'Preschoolers' WHEN age < 13 THEN 'School age' WHEN age < 20 THEN 'Teenagers' WHEN age < 30 THEN 'Young Adults' WHEN age < 40 THEN 'Adults' ELSE 'Other' END AS age_group FROM c CROSS JOIN s""")
+def match_prepared(spark, d):
+    return rounded(_sides(spark, d)[1].select("personid", "z_age", "age_group"), "z_age", digits=6)
+
+
+@query(None)
+def match_greedy(spark, d):
+    cases, controls = _sides(spark, d)
+    return matching.match(cases, controls, ["gender", "race"], ["z_age", "z_encounters"], per_case=2)
+
+
+@query(None)
+def match_iterative(spark, d):
+    cases, controls = _sides(spark, d)
+    rounds = [{"strata": ["gender", "race", "age_group"], "quality": "exact"}, {"strata": ["gender", "race"]}, {"strata": ["gender"], "quality": "loose"}]
+    return matching.match_rounds(cases, controls, rounds, ["z_age", "z_encounters"], per_case=3, save=lambda f: f.checkpoint())
+
+
+# --- concepts -------------------------------------------------------------------------------------------------------------
+
+CLOSURE = [
+    ("CTX_A", "SIZE", "urn:type", "SMALL"), ("CTX_A", "SIZE", "urn:type", "MEDIUM"), ("CTX_A", "SIZE", "urn:type", "LARGE"), ("CTX_A", "OFFER", "urn:type", "PROMO"), ("CTX_A", "OFFER", "urn:type", "ECONOMY"),
+    ("CTX_A", "BIG", "urn:type", "LARGE"), ("CTX_B", "OFFER", "urn:type", "PROMO"), ("CTX_B", "SIZE", "urn:type", "LARGE"), ("CTX_B", "EMPTY", "urn:other", "NONE"), ("CTX_C", "SIZE", "urn:type", "LARGE"), ("CTX_C", "OFFER", "urn:type", "PROMO"), ("CTX_C", "OFFER", "urn:type", "ECONOMY"),
+]
+CLOSURE_SQL = "(VALUES " + ", ".join(str(r) for r in CLOSURE) + ") cl(context, concept, coding_system, code)"
+FLAGS = [{"flag": "size", "concept": "SIZE", "context": "CTX_A"}, {"flag": "offer", "concept": "OFFER", "context": "CTX_A"}, {"flag": "offer_b", "concept": "OFFER", "context": "CTX_B"}, {"flag": "empty", "concept": "EMPTY", "context": "CTX_B"}]
+FLAG_SQL = "(VALUES " + ", ".join(f"('{f['flag']}', '{f['concept']}', '{f['context']}')" for f in FLAGS) + ") fl(flag, concept, context)"
+RECORDS = "(SELECT l_suppkey AS personid, l_linenumber AS tenant, l_shipdate AS servicedate, CAST(year(l_shipdate) AS INTEGER) AS year, p_type AS id, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 'urn:type' END AS sys FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def closure(spark):
+    return concepts.Ontology(spark.createDataFrame(CLOSURE, "context string, concept string, coding_system string, code string"))
+
+
+def records(spark, d):
+    both = T(spark, d, "lineitem").join(T(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    code = F.struct(F.struct(F.col("p_type").alias("id"), F.when(F.col("p_size") % 7 != 0, F.lit("urn:type")).alias("codingSystemId")).alias("standard"))
+    return both.select(F.col("l_suppkey").alias("personid"), F.col("l_linenumber").alias("tenant"), F.col("l_shipdate").alias("servicedate"), code.alias("code"))
+
+
+@query(f"SELECT personid, tenant, flag, servicedate FROM {RECORDS} r JOIN {CLOSURE_SQL} ON sys = coding_system AND id = code JOIN {FLAG_SQL} ON fl.concept = cl.concept AND fl.context = cl.context WHERE servicedate >= TIMESTAMP '1996-01-01' AND servicedate <= TIMESTAMP '1998-12-31'")
+def concept_events(spark, d):
+    return concepts.concept_events(records(spark, d), closure(spark), FLAGS, "code", ["personid", "tenant"], date="servicedate", start="1996-01-01", stop="1998-12-31")
+
+
+@query(f"""SELECT personid, tenant, max(CASE WHEN sys IS NOT NULL AND id IN ('SMALL', 'MEDIUM', 'LARGE') THEN 1 ELSE 0 END) AS size, max(CASE WHEN sys IS NOT NULL AND id IN ('PROMO', 'ECONOMY') THEN 1 ELSE 0 END) AS offer, max(CASE WHEN sys IS NOT NULL AND id = 'PROMO' THEN 1 ELSE 0 END) AS offer_b, 0 AS empty FROM {RECORDS} GROUP BY 1, 2""")
+def concept_flags(spark, d):
+    return concepts.concept_flags(records(spark, d), closure(spark), FLAGS, "code", ["personid", "tenant"])
+
+
+@query(f"""SELECT DISTINCT 'records' AS source_table, 'code' AS codefield, id AS code_standard_id, sys AS "code_standard_codingSystemId", concept AS "conceptName", context AS "contextId" FROM {RECORDS} JOIN {CLOSURE_SQL} ON sys = coding_system AND id = code WHERE (context, concept) IN (('CTX_A', 'SIZE'), ('CTX_A', 'OFFER'), ('CTX_B', 'OFFER'))""")
+def code_concept_map(spark, d):
+    return concepts.code_concept_map(records(spark, d), closure(spark), FLAGS, "code", "records")
+
+
+COUNTS_SQL = f"""WITH m AS (SELECT DISTINCT concept, coding_system, code FROM {CLOSURE_SQL} WHERE (context, concept) IN (('CTX_A', 'SIZE'), ('CTX_A', 'OFFER'), ('CTX_B', 'OFFER'))), r AS (SELECT * FROM {RECORDS}),
+l AS (SELECT * FROM r JOIN m ON sys = coding_system AND id = code), n AS (SELECT tenant, year, count(DISTINCT personid) AS n FROM r GROUP BY 1, 2), c AS (SELECT tenant, year, concept, count(DISTINCT personid) AS v FROM l GROUP BY ALL), s AS (SELECT tenant, year, concept, sys, count(DISTINCT personid) AS v FROM l GROUP BY ALL), k AS (SELECT tenant, year, concept, sys, id, count(DISTINCT personid) AS v FROM l GROUP BY ALL)
+SELECT k.tenant, k.year, k.concept AS "conceptName", k.sys AS "code_standard_codingSystemId", k.id AS code_standard_id, k.v AS "countByCode", s.v AS "countBySystem", c.v AS "countByConcept", n, round(c.v / n * 100, 4) AS "percentByConcept", round(s.v / n * 100, 4) AS "percentBySystem", round(k.v / n * 100, 4) AS "percentByCode"
+FROM k JOIN s ON k.tenant = s.tenant AND k.year = s.year AND k.concept = s.concept AND k.sys IS NOT DISTINCT FROM s.sys JOIN c ON k.tenant = c.tenant AND k.year = c.year AND k.concept = c.concept JOIN n ON k.tenant = n.tenant AND k.year = n.year"""
+
+
+@query(COUNTS_SQL)
+def ontology_counts(spark, d):
+    out = concepts.ontology_counts(records(spark, d), "code", ["tenant", "year"], "personid", ontology=closure(spark), flags=FLAGS, date="servicedate").drop("year_is_unknown")
+    return rounded(out, "percentByConcept", "percentBySystem", "percentByCode")
+
+
+@query(COUNTS_SQL)
+def ontology_counts_by_map(spark, d):
+    r = records(spark, d)
+    stored = concepts.code_concept_map(r, closure(spark), FLAGS, "code", "records")
+    out = concepts.ontology_counts(r, "code", ["tenant", "year"], "personid", concept_map=stored, date="servicedate").drop("year_is_unknown")
+    return rounded(out, "percentByConcept", "percentBySystem", "percentByCode")
+
+
+@query(f"""SELECT tenant, id AS code_standard_id, sys AS "code_standard_codingSystemId", CASE WHEN sys IS NOT NULL AND id <> 'STANDARD' THEN 1 ELSE 0 END AS mapped, count(DISTINCT personid) AS count FROM {RECORDS} GROUP BY 1, 2, 3""")
+def ontology_coverage(spark, d):
+    return concepts.ontology_coverage(records(spark, d), "code", ["tenant"], "personid", ontology=closure(spark), flags=FLAGS)
+
+
+@query("SELECT p_partkey, p_type IN ('SMALL', 'MEDIUM', 'LARGE') AS is_size, p_type = 'PROMO' AS is_promo FROM part")
+def concept_indicators(spark, d):
+    p = T(spark, d, "part").withColumn("code", F.struct(F.col("p_type").alias("id"), F.lit("urn:type").alias("codingSystemId")))
+    return p.transform(concepts.add_concept_indicators({"is_size": ("SIZE", "CTX_A"), "is_promo": ("OFFER", "CTX_B")}, "code", closure(spark))).select("p_partkey", "is_size", "is_promo")
+
+
+@query("""SELECT p_size % 3 AS tenant, 'code.standard' AS field, p_type AS id, 'urn:type' AS "codingSystemId", CAST(NULL AS VARCHAR) AS "primaryDisplay", CAST(NULL AS VARCHAR) AS value, count(DISTINCT p_partkey) AS count FROM part GROUP BY 1, 3
+UNION ALL SELECT p_size % 3, 'tags.standard', b, 'urn:tag', NULL, NULL, count(DISTINCT p_partkey) FROM (SELECT p_partkey, p_size, unnest([p_brand, 'all']) AS b FROM part) GROUP BY 1, 3
+UNION ALL SELECT p_size % 3, 'p_name', NULL, NULL, NULL, p_name, count(DISTINCT p_partkey) FROM part GROUP BY 1, p_name""")
+def datadict_long(spark, d):
+    tag = lambda c: F.struct(F.struct(c.alias("id"), F.lit("urn:tag").alias("codingSystemId")).alias("standard"))
+    p = T(spark, d, "part").select(
+        F.col("p_partkey").alias("personid"), (F.col("p_size") % 3).alias("tenant"), "p_name",
+        F.struct(F.struct(F.col("p_type").alias("id"), F.lit("urn:type").alias("codingSystemId")).alias("standard")).alias("code"), F.array(tag(F.col("p_brand")), tag(F.lit("all"))).alias("tags"),
+    )
+    return concepts.data_dictionary(p, ["tenant"], "personid", patterns=["^p_name$"])
+
+
+# --- ontology relation ------------------------------------------------------------------------------------------------------
+
+REL_SQL = f"""(SELECT context AS "contextId", 'Context ' || context AS "contextDescription", 'v' || context AS "contextVersion", concept AS "conceptName", code AS "conceptCode", coding_system AS "codingSystemId", CASE WHEN coding_system = 'urn:type' THEN 'Part types' ELSE 'Others' END AS "codingSystemDescription" FROM {CLOSURE_SQL})"""
+
+
+def relation(spark):
+    c = closure(spark).closure
+    return c.select(
+        F.col("context").alias("contextId"), F.concat(F.lit("Context "), "context").alias("contextDescription"), F.concat(F.lit("v"), "context").alias("contextVersion"), F.col("concept").alias("conceptName"), F.col("code").alias("conceptCode"),
+        F.col("coding_system").alias("codingSystemId"), F.when(F.col("coding_system") == "urn:type", "Part types").otherwise("Others").alias("codingSystemDescription"),
+    )
+
+
+@query(f"""SELECT * FROM {REL_SQL} WHERE regexp_matches("conceptName", 'of+er|size', 'i') AND regexp_matches("contextId", '_(a|b)$', 'i') AND regexp_matches("codingSystemDescription", 'part', 'i')""")
+def ontology_search(spark, d):
+    return ontology.search(relation(spark), "ontologies", ontology.Patterns(name="of+er|size", context="_(a|b)$", description="part"))
+
+
+@query(f"""SELECT DISTINCT "contextId", "conceptName", "codingSystemId" FROM {REL_SQL} WHERE regexp_matches("conceptCode", '^(promo|large)', 'i')""")
+def ontology_context_names(spark, d):
+    return ontology.search(relation(spark), "context_name_system", ontology.Patterns(code="^(promo|large)"))
+
+
+@query(f"""SELECT "contextId", "codingSystemId", "codingSystemDescription", count(DISTINCT "conceptName") AS count FROM {REL_SQL} GROUP BY 1, 2, 3""")
+def codingsystem_summary(spark, d):
+    return ontology.coding_system_summary(relation(spark))
+
+
+@query(f"""SELECT "conceptName", count(DISTINCT "contextId") AS n_contexts, count(DISTINCT "conceptCode") AS n_codes FROM {REL_SQL} GROUP BY 1""")
+def concept_summary(spark, d):
+    return ontology.concept_summary(relation(spark))
+
+
+@query(f"""SELECT * FROM {REL_SQL} WHERE "contextId" = (SELECT "contextId" FROM {REL_SQL} GROUP BY 1 ORDER BY count(DISTINCT "conceptName") DESC, "contextId" LIMIT 1)""")
+def top_context(spark, d):
+    return ontology.top_context(relation(spark)).select(*relation(spark).columns)
+
+
+LISTS_SQL = f"""(SELECT concept, context, list(DISTINCT code ORDER BY code) AS codes FROM {CLOSURE_SQL} GROUP BY 1, 2)"""
+
+
+def _versions(spark):
+    return closure(spark).closure.select(F.col("context").alias("contextVersion"), F.col("concept").alias("conceptName"), F.when(F.col("coding_system") == "urn:type", "1").otherwise("2").alias("descriptionNumber"), F.col("code").alias("conceptCode"))
+
+
+@query(f"""SELECT context AS "contextVersion", concept AS "conceptName", CAST(dense_rank() OVER (PARTITION BY concept ORDER BY ref) AS INTEGER) AS "contextGroup", CASE WHEN context = ref THEN 1 ELSE 0 END AS "referenceContext" FROM (SELECT *, min(context) OVER (PARTITION BY concept, codes) AS ref FROM {LISTS_SQL})""")
+def context_groups(spark, d):
+    return ontology.context_groups(_versions(spark))
+
+
+@query(f"""SELECT context AS "contextVersion", concept AS "conceptName", unnest(codes) AS "conceptCode", 'urn:type' AS "codingSystem" FROM (SELECT *, min(context) OVER (PARTITION BY concept, codes) AS ref FROM {LISTS_SQL} WHERE concept = 'OFFER') WHERE context = ref""")
+def extract_concepts(spark, d):
+    names = spark.createDataFrame([("1", "urn:type"), ("2", "urn:other")], "descriptionNumber string, codingSystem string")
+    return ontology.concept_codes(_versions(spark), names, "OFFER")
+
+
+COVER_SQL = """(SELECT context AS "contextId", concept AS "conceptName", 'part' AS "table", p_type AS code, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM part), 4) AS percent FROM part JOIN {} ON p_type = code GROUP BY 1, 2, 4)""".format(CLOSURE_SQL)
+
+
+def coverage(spark, d):
+    p = T(spark, d, "part")
+    n = p.agg(F.count("*").alias("__all"))
+    rows = p.join(closure(spark).closure, F.col("p_type") == F.col("code")).groupBy(F.col("context").alias("contextId"), F.col("concept").alias("conceptName"), F.lit("part").alias("table"), "code").agg(F.count("*").alias("count"))
+    return rows.crossJoin(F.broadcast(n)).withColumn("percent", F.round(100.0 * F.col("count") / F.col("__all"), 4)).drop("__all")
+
+
+@query(f"""WITH best AS (SELECT "contextId" FROM {COVER_SQL} WHERE regexp_matches("conceptName", 'size|offer', 'i') GROUP BY 1 ORDER BY count(DISTINCT "conceptName") DESC, "contextId" LIMIT 1)
+SELECT DISTINCT "codingSystemId", "conceptCode" FROM {REL_SQL} WHERE "contextId" = (SELECT "contextId" FROM best) AND regexp_matches("conceptName", 'size|offer', 'i')""")
+def ontology_codes(spark, d):
+    return ontology.ontology_codes(relation(spark), coverage(spark, d), "size|offer", "part")
+
+
+@query(f"""SELECT * FROM {COVER_SQL} WHERE percent > 0 ORDER BY percent DESC, "contextId", "conceptName", code LIMIT 8""")
+def covered_sample(spark, d):
+    return ontology.covered_sample(coverage(spark, d), n=8)
+
+
+@query("SELECT * FROM (VALUES ('type', 'urn:type'), ('brand', 'urn:brand'), ('other', 'urn:other')) v(\"dataSystemId\", \"ontologySystemId\")")
+def crosswalk_suffix(spark, d):
+    a = spark.createDataFrame([("type",), ("brand",), ("other",), (".ype",), (None,)], "codingSystemId string")
+    b = spark.createDataFrame([("urn:type",), ("urn:brand",), ("urn:other",), ("type:urn",)], "codingSystemId string")
+    return ontology.crosswalk(a, b, cutoff=0.5).select("dataSystemId", "ontologySystemId")
+
+
+def _summary(spark, d):
+    data = T(spark, d, "part").groupBy(F.lit("type").alias("codingSystemId"), F.col("p_type").alias("conceptCode")).agg(F.count("*").alias("n"))
+    links = spark.createDataFrame([("type", "urn:type")], "dataSystemId string, ontologySystemId string")
+    return ontology.summarize_codes(data, relation(spark), links)
+
+
+@query("""SELECT 'type' AS "codingSystemId", p_type AS "conceptCode", count(*) AS n FROM part WHERE p_type <> 'STANDARD' GROUP BY 2""")
+def codes_matched(spark, d):
+    return _summary(spark, d)["codes_matched"]
+
+
+@query("""SELECT 'type' AS "codingSystemId", p_type AS "conceptCode", count(*) AS n FROM part WHERE p_type = 'STANDARD' GROUP BY 2 HAVING count(*) > 2""")
+def codes_not_matched(spark, d):
+    return _summary(spark, d)["codes_not_matched"]
+
+
+@query("""SELECT p_type, p_brand, count(*) AS n FROM part WHERE p_type <> 'LARGE' GROUP BY 1, 2 UNION ALL SELECT p_type, 'new', count(*) FROM part WHERE p_type = 'LARGE' GROUP BY 1""")
+def upsert_by_key(spark, d):
+    p = T(spark, d, "part")
+    new = p.where("p_type = 'LARGE'").groupBy("p_type").agg(F.lit("new").alias("p_brand"), F.count("*").alias("n"))
+    return ontology.upsert(p.groupBy("p_type", "p_brand").agg(F.count("*").alias("n")), new, ["p_type"])
+
+
+@query("SELECT p_partkey, p_type AS code_standard_id, 'urn:type' AS system FROM part WHERE p_size > 10")
+def source_shaping(spark, d):
+    from ..sources.catalog import shape
+
+    p = T(spark, d, "part").select("p_partkey", "p_size", F.struct(F.struct(F.col("p_type").alias("id"), F.lit("urn:type").alias("codingSystemId"), F.col("p_name").alias("primaryDisplay")).alias("standard")).alias("code"))
+    return shape(p, {"inputRegex": ["^p_partkey$", "P_SIZE", "standard_(id|coding)"], "colsRename": {"code_standard_codingSystemId": "system"}, "filter": "p_size > 10"}).drop("p_size")
+
+
+# --- cohort recipes -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 12")
+def min_occurrences(spark, d):
+    return cohort.min_occurrences(T(spark, d, "events").where("event_type = 'error'"), ["user_id"], "ts", 12)
+
+
+@query("""SELECT DISTINCT o_custkey FROM (SELECT o_custkey, date_diff('day', CAST(o_orderdate AS DATE), CAST(lead(o_orderdate, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS DATE)) AS n FROM orders) WHERE n <= 60""")
+def min_occurrences_window(spark, d):
+    return cohort.min_occurrences(T(spark, d, "orders"), ["o_custkey"], "o_orderdate", 3, 60)
+
+
+@query("""WITH i AS (SELECT user_id, min(ts) AS d FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT user_id FROM i WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = i.user_id AND event_type = 'error' AND date_diff('day', CAST(d AS DATE), CAST(ts AS DATE)) BETWEEN -2 AND 0)""")
+def exclusion_window(spark, d):
+    e = T(spark, d, "events")
+    index = indexing.index_table(e.where("event_type = 'purchase'"), "user_id", "ts", "buy").select("user_id", "index_buy")
+    return cohort.exclude(index, e.where("event_type = 'error'"), ["user_id"], "index_buy", "ts", before=2).select("user_id")
+
+
+@query("""WITH a AS (SELECT user_id, min(ts) AS x FROM events WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT user_id, min(ts) AS y FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT user_id, x AS index_sign, y AS index_buy FROM a JOIN b USING (user_id) WHERE x < y""")
+def multi_criteria_cohort(spark, d):
+    e = T(spark, d, "events")
+    side = lambda t, c: indexing.index_table(e.where(F.col("event_type") == t), "user_id", "ts", c).select("user_id", f"index_{c}")
+    return cohort.both_criteria(side("signup", "sign"), side("purchase", "buy"), ["user_id"], F.col("index_sign") < F.col("index_buy"))
+
+
+@query("""WITH i AS (SELECT user_id, min(ts) AS d FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT event_id, user_id FROM events JOIN i USING (user_id) WHERE CAST(ts AS DATE) BETWEEN CAST(d AS DATE) - 1 AND CAST(d AS DATE) + 3""")
+def event_window(spark, d):
+    e = T(spark, d, "events")
+    index = indexing.index_table(e.where("event_type = 'purchase'"), "user_id", "ts", "buy")
+    return cohort.around_index(e, index, ["user_id"], "ts", "index_buy", 1, 3).select("event_id", "user_id")
+
+
+@query("""SELECT o_custkey FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, arg_min(o_orderdate, abs(date_diff('day', DATE '1998-01-01', CAST(o_orderdate AS DATE)))) AS i FROM orders GROUP BY 1) WHERE date_diff('day', CAST(a AS DATE), DATE '1998-01-01') >= 365 AND date_diff('day', DATE '1998-01-01', CAST(b AS DATE)) >= 200""")
+def observed_around(spark, d):
+    span = indexing.index_table(T(spark, d, "orders"), "o_custkey", "o_orderdate", "o")
+    index = span.select("o_custkey", F.lit("1998-01-01").cast("date").alias("at"))
+    return cohort.observed(index, span, ["o_custkey"], "at", "index_o", "last_o", 365, 200).select("o_custkey")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 70")
+def high_utilisers(spark, d):
+    return cohort.high_users(indexing.usage(T(spark, d, "events"), ["user_id"], ["ts"], count_name="n"), "n", 70).select("user_id", "n")
+
+
+@query(f"""WITH c AS ({courses_sql("(SELECT * FROM events WHERE event_type = 'purchase')", "user_id", "ts", "ts", 2, "exposure")}), l AS (SELECT *, date_diff('day', CAST(last_therapy_exposure AS DATE), CAST(lead(index_therapy_exposure) OVER (PARTITION BY user_id ORDER BY index_therapy_exposure) AS DATE)) AS br FROM c)
+SELECT user_id, min(index_exposure) AS first_exposure, max(last_exposure) AS last_exposure, max(entries_exposure) AS total_exposures, count(*) AS n_courses, CAST(max(br) AS INTEGER) AS longest_break, 1 AS ever_exposed FROM l GROUP BY 1""")
+def exposure_summary(spark, d):
+    return cohort.exposure_summary(T(spark, d, "events").where("event_type = 'purchase'"), ["user_id"], "ts", 2)
+
+
+@query(f"""WITH i AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS d FROM orders GROUP BY 1), days AS (SELECT DISTINCT s.o_custkey, unnest(generate_series(greatest(CAST(o_orderdate AS DATE), d), least(CAST(stop AS DATE), d + 364), INTERVAL 1 DAY)) AS day FROM {STAY} s JOIN i ON s.o_custkey = i.o_custkey)
+SELECT i.o_custkey, count(day) AS covered_days, round(count(day) / 365, 6) AS pdc FROM i LEFT JOIN days ON i.o_custkey = days.o_custkey GROUP BY 1""")
+def adherence_pdc(spark, d):
+    s = stays(spark, d).withColumn("stop", F.greatest(F.coalesce("stop", "o_orderdate"), "o_orderdate"))
+    index = indexing.index_table(s, "o_custkey", "o_orderdate", "o").select("o_custkey", "index_o")
+    return rounded(cohort.days_covered(s, ["o_custkey"], "o_orderdate", "stop", index, "index_o"), "pdc", digits=6)
+
+
+@query("""WITH i AS (SELECT user_id, min(ts) AS d FROM events GROUP BY 1), w AS (SELECT user_id, arg_max(value, (ts, value)) AS v FROM events JOIN i USING (user_id) WHERE CAST(ts AS DATE) BETWEEN CAST(d AS DATE) + 10 AND CAST(d AS DATE) + 20 GROUP BY 1) SELECT user_id, v AS target_value, v < 10 AS controlled FROM w""")
+def value_control(spark, d):
+    e = T(spark, d, "events")
+    index = indexing.index_table(e, "user_id", "ts", "e")
+    return cohort.controlled_at(e, index, ["user_id"], "value", "ts", "index_e", 10, 10, 20)
+
+
+@query("""WITH i AS (SELECT user_id, min(ts) AS d, max(ts) AS l FROM events GROUP BY 1), x AS (SELECT i.user_id, d, l, min(ts) AS t FROM i LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase' AND value > 40) e ON i.user_id = e.user_id AND ts > d GROUP BY 1, 2, 3)
+SELECT user_id, CASE WHEN t IS NOT NULL AND t <= l THEN 1 ELSE 0 END AS event, CAST(date_diff('day', CAST(d AS DATE), CAST(CASE WHEN t IS NOT NULL AND t <= l THEN t ELSE l END AS DATE)) AS INTEGER) AS time_days FROM x""")
+def time_to_event(spark, d):
+    e = T(spark, d, "events")
+    index = indexing.index_table(e, "user_id", "ts", "e")
+    return cohort.time_to_event(index, e.where("event_type = 'purchase' AND value > 40"), ["user_id"], "index_e", "ts", ["last_e"]).select("user_id", "event", "time_days")
+
+
+@query("""SELECT user_id, event_type, arg_max(value, (ts, value)) AS baseline_value, count(*) AS baseline_n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY 1, 2""")
+def baseline_value(spark, d):
+    e = T(spark, d, "events")
+    index = e.select("user_id", F.lit("2024-01-20").cast("date").alias("at")).distinct()
+    return cohort.baseline_value(e, index, ["user_id"], "event_type", "value", "ts", "at", 10)
+
+
+@query("""SELECT user_id, max(CASE WHEN event_type LIKE 'err%' AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-05') BETWEEN 0 AND 3 THEN 1 ELSE 0 END) AS err, max(CASE WHEN event_type LIKE 'pur%' AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-05') BETWEEN 0 AND 3 THEN 1 ELSE 0 END) AS pur FROM events GROUP BY 1""")
+def comorbidity_flags(spark, d):
+    e = T(spark, d, "events")
+    index = e.select("user_id", F.lit("2024-01-05").cast("date").alias("at")).distinct()
+    return cohort.comorbidity_flags(e, index, ["user_id"], "event_type", "ts", "at", {"err": "err", "pur": "pur"}, 3)
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'click' AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') BETWEEN 0 AND 10) AS n_click, count(*) FILTER (event_type = 'view' AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') BETWEEN 0 AND 10) AS n_view FROM events GROUP BY 1""")
+def encounter_counts(spark, d):
+    e = T(spark, d, "events")
+    index = e.select("user_id", F.lit("2024-01-20").cast("date").alias("at")).distinct()
+    return cohort.encounter_counts(e, index, ["user_id"], "event_type", "ts", "at", ["click", "view"], 10)
+
+
+@query("""SELECT * FROM (SELECT 0 AS step, 'all' AS name, count(DISTINCT c_custkey) AS n, 0::BIGINT AS excluded, 100.0::DOUBLE AS percent_remaining FROM customer UNION ALL SELECT 1, 'rich', count(*) FILTER (c_acctbal > 0), count(*) FILTER (c_acctbal <= 0), round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 2) FROM customer
+UNION ALL SELECT 2, 'building', count(*) FILTER (c_acctbal > 0 AND c_mktsegment = 'BUILDING'), count(*) FILTER (c_acctbal > 0 AND c_mktsegment <> 'BUILDING'), round(100.0 * count(*) FILTER (c_acctbal > 0 AND c_mktsegment = 'BUILDING') / count(*), 2) FROM customer)""")
+def attrition_table(spark, d):
+    c = T(spark, d, "customer")
+    rich = c.where("c_acctbal > 0")
+    return cohort.attrition_table([("all", c), ("rich", rich), ("building", rich.where("c_mktsegment = 'BUILDING'"))], "c_custkey")
+
+
+@query("SELECT o_orderkey, CAST(floor(date_diff('day', DATE '1970-06-15', CAST(o_orderdate AS DATE)) / 365.25) AS INTEGER) AS age FROM orders")
+def age_at_index(spark, d):
+    return T(spark, d, "orders").select("o_orderkey", dem.age_at(F.lit("1970-06-15").cast("date"), F.col("o_orderdate")).alias("age"))
+
+
+@query("""WITH i AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1) SELECT o_custkey, CAST(date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) AS INTEGER) AS followup_days, c_mktsegment FROM i LEFT JOIN customer ON o_custkey = c_custkey""")
+def analytic_dataset(spark, d):
+    index = indexing.index_table(T(spark, d, "orders"), "o_custkey", "o_orderdate", "o")
+    out = cohort.analytic_dataset(index, ["o_custkey"], "index_o", "last_o", [T(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")])
+    return out.select("o_custkey", "followup_days", "c_mktsegment")
