@@ -73,16 +73,17 @@ def match(cases: DataFrame, controls: DataFrame, strata: Sequence[str], distance
     do not match; unknown coordinates count 0.  Ties go by ids.  ``need`` names a column of each case's own demand.
     """
     idt = cases.schema[person].dataType
+    coords = [f"__x{k}" for k in range(len(distances))]  # a column may be a stratum and a coordinate
     schema = T.StructType([T.StructField("case_id", idt), T.StructField("control_id", idt), T.StructField("match_rank", T.IntegerType()), T.StructField("distance", T.DoubleType())])
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=schema.fieldNames())
-        x = lambda t: np.nan_to_num(t[list(distances)].to_numpy(float))
+        x = lambda t: np.nan_to_num(t[coords].to_numpy(float))
         demand = a[need].to_numpy() if need else np.full(len(a), per_case)
         return pd.DataFrame(_greedy(a[person].tolist(), x(a), demand, b[person].tolist(), x(b)), columns=schema.fieldNames())
 
-    known = lambda t, extra: t.dropna(subset=list(strata)).select(*(F.col(c).alias(c) for c in dict.fromkeys([person, *strata])), *(F.col(c).cast("double").alias(c) for c in distances), *extra)
+    known = lambda t, extra: t.dropna(subset=list(strata)).select(*(F.col(c).alias(c) for c in dict.fromkeys([person, *strata])), *(F.col(c).cast("double").alias(n) for n, c in zip(coords, distances)), *extra)
     a, b = known(cases, [need] if need else []), known(controls, [])
     return a.groupBy(*strata).cogroup(b.groupBy(*strata)).applyInPandas(run, schema)
 

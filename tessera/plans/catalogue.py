@@ -16,6 +16,7 @@ from ..functions import gamma
 from ..functions.dates import date_parts, mark_unknown
 from ..functions.schema import flatten, select_by_regex
 from ..operators import analytics, codes, cohort, concepts, extraction, indexing, matching, measurements, ontology, profiling
+from ..session import checkpointed
 from ..session import table as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,7 +443,7 @@ def match_greedy(spark, d):
 def match_iterative(spark, d):
     cases, controls = _sides(spark, d)
     rounds = [{"strata": ["gender", "race", "age_group"], "quality": "exact"}, {"strata": ["gender", "race"]}, {"strata": ["gender"], "quality": "loose"}]
-    return matching.match_rounds(cases, controls, rounds, ["z_age", "z_encounters"], per_case=3, save=lambda f: f.checkpoint())
+    return matching.match_rounds(cases, controls, rounds, ["z_age", "z_encounters"], per_case=3, save=checkpointed)
 
 
 # --- concepts -------------------------------------------------------------------------------------------------------------

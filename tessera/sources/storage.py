@@ -49,7 +49,7 @@ def write(df: DataFrame, table: str, partition_by: Sequence[str] = (), mode: str
     spark = df.sparkSession
     save = lambda f, to, m: (f.write.partitionBy(*partition_by) if partition_by else f.write).mode(m).saveAsTable(to)
     if mode == "append":
-        df.writeTo(table).append() if exists(spark, table) else save(df, table, "errorifexists")
+        save(df, table, "append")  # columns meet by name
     elif not exists(spark, table):
         save(df, table, mode)
     else:
