@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import stage, utf8
 
 # Element and class vocabularies.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +48,8 @@ TELLING = re.compile(r"class|id|role|itemprop|hidden|style", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: The least share of the text outside boilerplate that the article's slot holds.
 MAIN_SHARE = 0.6
+#: Hosts whose slots (a row of some hundred bytes each) are broadcast.
+BROADCAST_HOSTS = 100_000
 
 
 class Element:
@@ -252,7 +254,9 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     table gives no rows; other columns are not read.
     """
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), utf8(html_col).alias("raw"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST.pattern, 1)).alias("host"))
-    slots = template_slots(pages.where("host != ''"))
+    slots = stage(template_slots(pages.where("host != ''")), "slots")
+    if slots.count() <= BROADCAST_HOSTS:  # else by host, where the optimiser splits a host that has too many pages
+        slots = F.broadcast(slots)
     schema = T.StructType([T.StructField("page_id", df.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
