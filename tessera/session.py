@@ -16,10 +16,31 @@ SETTINGS = {
 def open_session(app: str = "tessera", master: str | None = None, **settings: str) -> SparkSession:
     """A session with UTC time and adaptive execution; cluster sizes stay the submitter's."""
     b = SparkSession.builder.appName(app).config(map=SETTINGS | settings)
-    return (b.master(master) if master else b).getOrCreate()
+    spark = (b.master(master) if master else b).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._tessera_shipped = True
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
