@@ -8,7 +8,7 @@ import json
 import logging
 import re
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from pathlib import Path
@@ -170,9 +170,28 @@ class Project:
 
     def __init__(self, spark: SparkSession, path: str | Path, sources: Catalog | None = None, dictionaries: Mapping[str, DataFrame] | None = None, manifest: str | Path | None = None) -> None:
         self.spark, self.path, self.plan = spark, Path(path), load_plan(path)
-        self.sources, self.dictionaries = sources, dict(dictionaries or {})
+        self.sources, self.dictionaries = sources, dictionaries if dictionaries is not None else {}
         self.manifest_path = Path(manifest) if manifest else self.path.parent / ".build-manifest.json"
         self.frames: dict[str, DataFrame] = {}
+        self.catalogs: dict[str, Catalog] = {}
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.plan.tables
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.plan.tables)
+
+    def __len__(self) -> int:
+        return len(self.plan.tables)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        """A node's stored table, or its lazy frame where nothing is stored yet."""
+        if name not in self.plan.tables:
+            raise KeyError(name)
+        try:
+            return self.resolve(f"e.{name}")
+        except LookupError:
+            return self.frame(name)
 
     def location(self, name: str) -> str:
         """Configured, or schema.name_disease_tag."""
@@ -188,6 +207,8 @@ class Project:
             return self.frames[name]
         if kind in ("e", "") and name in self.plan.tables and storage.exists(self.spark, self.location(name)):
             return self.spark.table(self.location(name))
+        if kind == "" and name in self.plan.tables:
+            raise LookupError(f"{name} is not built yet")
         if kind in ("r", "") and self.sources is not None and name in self.sources:
             return self.sources[name]
         if kind in ("d", "") and name in self.dictionaries:

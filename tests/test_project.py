@@ -168,6 +168,21 @@ def test_catalog(spark, tmp_path):
         shape(spark.sql("select array(named_struct('a', 1)) as x"), {})
 
 
+def test_open_project(spark, tmp_path):
+    from tessera.plans.setup import open_project
+
+    (tmp_path / "config-global.yaml").write_text(f"projectSchema: default\ncallFunProcessDataTables:\n  x: {{data_type: RWDTables, schema_type: RWDSchema, type_key: r}}\n  y: {{data_type: none, schema_type: Old, type_key: o}}\nRWDTables:\n  events: {{}}\nschemas: {{RWDSchema: {SF}, Old: no_such_db}}\n")
+    (tmp_path / "p.yaml").write_text("project: p\ndisease: dx\nschemaTag: ${project}1\nprojectTables:\n  people: {method: write_index_table, inputs: {inTable: r.events}, indexFields: [user_id], datefieldPrimary: ts, code: e}\n")
+    p = open_project(tmp_path / "p.yaml", spark=spark)
+    assert set(p.catalogs) == {"r"} and list(p) == ["people"] and len(p) == 1 and "people" in p
+    assert p.location("people") == "default.people_dx_p1"
+    assert p["people"].columns == ["user_id", "index_e", "last_e", "entries_e", "encounter_days_e"]
+    with pytest.raises(KeyError):
+        p["none"]
+    with pytest.raises(LookupError):
+        open_project(tmp_path / "p.yaml", spark=spark, strict=True)
+
+
 def test_storage(spark, tmp_path):
     t = "store_test"
     storage.drop(spark, t)

@@ -214,6 +214,15 @@ def test_standardize_constant(spark):
     assert [r.z_v for r in matching.standardize(df, ["v"]).orderBy("k").collect()] == [0.0, 0.0, None]
 
 
+def test_distance_and_posterior(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 4.0, 6.0), (1.0, None, 1.0, 9.0)], "x double, y double, x_case double, y_case double")
+    assert [r[0] for r in df.select(matching.distance(["x", "y"])).collect()] == [5.0, 0.0]
+    noisy = df.select(matching.distance(["x", "y"], seed=1)).collect()
+    assert 5.0 <= noisy[0][0] < 5.00001
+    s = df.select(gamma.posterior_survival(F.lit(3), F.lit(1.0)).alias("s")).first().s
+    assert s == pytest.approx(math.exp(-6) * sum(6**i / math.factorial(i) for i in range(4)))
+
+
 def test_dates(spark):
     df = spark.createDataFrame([("2020-02-03", None), ("bad", "2019-01-01"), (None, None)], "a string, b string")
     rows = dates.date_parts(df, ["a", "b"], ["year", "month"]).collect()
