@@ -254,6 +254,7 @@ def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, id_col: str = "d
     docs = _texts(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
     found = stage(_find_anchors(docs, span, k), "anchors")
     shared = found.groupBy("class").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").select("class", (F.col("c0") != F.col("c1")).alias("mixed"))
+    shared = stage(shared, "classes")  # apart from its own shuffle, the join can split a class that has very many rows
     found = stage(found.join(shared, "class"), "shared")
     distinct = found.where("mixed").groupBy("class", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "left", "run")).alias("at"))
     sizes = found.where("mixed").select("class", "ctx").distinct().groupBy("class").agg(F.count("*").alias("contexts"))
