@@ -2,11 +2,12 @@
 
 Texts are lower-cased words (``\\w+``).  An alignment scores 1 for an equal word
 and -1 for a substitution, an insertion or a deletion; its similarity is the
-score over the item's length.  With a similarity of at least ``s`` an item of L
-words loses at most 2 (1 - s) L of its n-grams (n = 3: an insertion costs 1 and
-breaks 2, a substitution or a deletion costs 2 and breaks at most 3), so any
-floor(2 (1 - s) L) + 1 of its seeds hold a surviving one: the rarest ones in the corpus are
-looked up.  An item with fewer seeds than that is looked up by all of them.
+score over the item's length.  At a similarity of at least ``s`` the edits of an item of L
+words cost at most (1 - s) L.  A substitution or a deletion costs 2 and breaks at most 3
+of its n-grams (n = 3), so 1.5 (1 - s) L are broken at most, and one of any
+floor(1.5 (1 - s) L) + 1 seeds survives: the rarest ones in the corpus are
+looked up, or all where an item has fewer.  An insertion costs 1 and breaks 2: a copy that differs
+by insertions alone is sure to be found up to a cost of 0.75 (1 - s) L.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ N = 3
 class Limits(NamedTuple):
     """Least similarity of a leak, and the benchmark items that one pass over the corpus takes."""
 
-    similarity: float = 0.6
+    similarity: float = 0.45
     block_items: int = 20_000
 
 
@@ -88,7 +89,7 @@ class Index:
         """Choose each item's rarest seeds, as many as the bound asks for, and file the items under them."""
         self.by_seed: dict[int, list[tuple[int, int]]] = {}
         for i, (it, (codes, at)) in enumerate(zip(self.items, self.seeds_of, strict=True)):
-            need = int(2 * (1 - self.similarity) * len(it.ids) + 1e-9) + 1
+            need = int(1.5 * (1 - self.similarity) * len(it.ids) + 1e-9) + 1
             order = sorted(range(len(codes)), key=lambda k: (frequency.get(int(codes[k]), 0), int(codes[k]), k))
             for k in order[:need]:
                 self.by_seed.setdefault(int(codes[k]), []).append((i, int(at[k])))
@@ -219,7 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(),
     corpus for seed frequencies and one for alignments; nothing is shuffled but the seed counts, of which there are
     no more than a block has seeds.  Null or wordless texts and items match
     nothing.  Null ids are kept; of repeated rows each gives its rows; an item
-    shorter than three words is one seed as a whole.  An empty table gives no rows; other columns are not read.
+    shorter than three words is one seed, and matches as a whole only.  An empty table gives no rows; other columns are not read.
     """
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]

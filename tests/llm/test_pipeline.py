@@ -9,6 +9,7 @@ import pytest
 
 from tessera.llm import byte_bpe, queries, quality_rules
 from tessera.llm import secrets as sc
+from tessera.llm.decontaminate import Limits
 
 from .test_decontaminate import plain_score, words
 from .test_quality_simhash import brute, brute_components, brute_fp
@@ -49,7 +50,7 @@ def test_near_duplicate_stage(outputs):
 def test_decontamination_stage(spark, outputs):
     before, after, _ = outputs[2]
     items = [words(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
-    leaked = lambda ws: any(set(it) & set(ws) and len(set(it) & set(ws)) >= 3 and plain_score(it, ws) >= 0.6 * len(it) - 1e-9 for it in items)
+    leaked = lambda ws: any(set(it) & set(ws) and len(set(it) & set(ws)) >= 3 and plain_score(it, ws) >= Limits().similarity * len(it) - 1e-9 for it in items)
     want = [r for r in before if not leaked(words(r.text))]
     assert Counter(map(tuple, after)) == Counter(map(tuple, want))
 
