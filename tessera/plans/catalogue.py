@@ -45,6 +45,11 @@ def rounded(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
 
+def doubles(df: DataFrame, *cols: str) -> DataFrame:
+    """Counts that may be null, as doubles: clients read null integers in different ways."""
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 # --- codes and extraction -------------------------------------------------------------------------------------------
 
 BUY = {"buy": "^purch", "sign": "sign|view", "any": "e"}
@@ -117,13 +122,13 @@ def collision_exclude(spark, d):
     return extraction.extract(T(spark, d, "orders"), side, ["o_custkey"], fields=["o_orderkey", "o_custkey", "o_totalprice"])
 
 
-@query("""SELECT c_custkey AS k, n_orders, n_urgent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) a ON c_custkey = a.o_custkey
+@query("""SELECT c_custkey AS k, CAST(n_orders AS DOUBLE) AS n_orders, CAST(n_urgent AS DOUBLE) AS n_urgent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) a ON c_custkey = a.o_custkey
 LEFT JOIN (SELECT o_custkey, count(*) AS n_urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) b ON c_custkey = b.o_custkey""")
 def panel_spine_features(spark, d):
     o = T(spark, d, "orders").withColumnRenamed("o_custkey", "k")
     a = o.groupBy("k").agg(F.count("*").alias("n_orders"))
     b = o.where("o_orderpriority = '1-URGENT'").groupBy("k").agg(F.count("*").alias("n_urgent"))
-    return extraction.attach(T(spark, d, "customer").select(F.col("c_custkey").alias("k")), [a, b], ["k"])
+    return doubles(extraction.attach(T(spark, d, "customer").select(F.col("c_custkey").alias("k")), [a, b], ["k"]), "n_orders", "n_urgent")
 
 
 @query("""SELECT a.o_custkey, a.year, n_f, n_o FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) a
@@ -193,17 +198,17 @@ nx AS (SELECT d.k, b, e, first, last, entries, days, date_diff('day', CAST(e AS
 en AS (SELECT *, CASE WHEN coalesce(gap <= {gap}, false) OR e = last THEN 0 ELSE 1 END AS ends FROM nx),
 co AS (SELECT *, CAST(sum(ends) OVER (PARTITION BY k ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS INTEGER) AS course FROM en)
 SELECT k AS {keys}, min(first) AS index_{code}, min(last) AS last_{code}, min(entries) AS entries_{code}, min(days) AS encounter_days_{code}, course AS course_of_therapy_{code}, min(b) AS index_therapy_{code},
-arg_max(e, (b, e)) AS last_therapy_{code}, count(b) AS encounter_days_for_course_{code}, CAST(max(CASE WHEN ends = 0 THEN gap END) AS INTEGER) AS max_gap_{code} FROM co GROUP BY k, course"""
+arg_max(e, (b, e)) AS last_therapy_{code}, count(b) AS encounter_days_for_course_{code}, CAST(max(CASE WHEN ends = 0 THEN gap END) AS DOUBLE) AS max_gap_{code} FROM co GROUP BY k, course"""
 
 
 @query(courses_sql("(SELECT * FROM events WHERE event_type = 'purchase')", "user_id", "ts", "ts", 2, "rx"))
 def index_courses_gap(spark, d):
-    return indexing.index_table(T(spark, d, "events").where("event_type = 'purchase'"), "user_id", "ts", "rx", max_gap=2)
+    return doubles(indexing.index_table(T(spark, d, "events").where("event_type = 'purchase'"), "user_id", "ts", "rx", max_gap=2), "max_gap_rx")
 
 
 @query(courses_sql(STAY, "o_custkey", "o_orderdate", "stop", 60, "stay"))
 def index_courses_interval(spark, d):
-    return indexing.index_table(stays(spark, d), "o_custkey", "o_orderdate", "stay", stop="stop", max_gap=60)
+    return doubles(indexing.index_table(stays(spark, d), "o_custkey", "o_orderdate", "stay", stop="stop", max_gap=60), "max_gap_stay")
 
 
 @query("SELECT o_custkey, o_orderstatus, count(*) AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1999-12-31' GROUP BY 1, 2")
@@ -688,9 +693,9 @@ def high_utilisers(spark, d):
 
 
 @query(f"""WITH c AS ({courses_sql("(SELECT * FROM events WHERE event_type = 'purchase')", "user_id", "ts", "ts", 2, "exposure")}), l AS (SELECT *, date_diff('day', CAST(last_therapy_exposure AS DATE), CAST(lead(index_therapy_exposure) OVER (PARTITION BY user_id ORDER BY index_therapy_exposure) AS DATE)) AS br FROM c)
-SELECT user_id, min(index_exposure) AS first_exposure, max(last_exposure) AS last_exposure, max(entries_exposure) AS total_exposures, count(*) AS n_courses, CAST(max(br) AS INTEGER) AS longest_break, 1 AS ever_exposed FROM l GROUP BY 1""")
+SELECT user_id, min(index_exposure) AS first_exposure, max(last_exposure) AS last_exposure, max(entries_exposure) AS total_exposures, count(*) AS n_courses, CAST(max(br) AS DOUBLE) AS longest_break, 1 AS ever_exposed FROM l GROUP BY 1""")
 def exposure_summary(spark, d):
-    return cohort.exposure_summary(T(spark, d, "events").where("event_type = 'purchase'"), ["user_id"], "ts", 2)
+    return doubles(cohort.exposure_summary(T(spark, d, "events").where("event_type = 'purchase'"), ["user_id"], "ts", 2), "longest_break")
 
 
 @query(f"""WITH i AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS d FROM orders GROUP BY 1), days AS (SELECT DISTINCT s.o_custkey, unnest(generate_series(greatest(CAST(o_orderdate AS DATE), d), least(CAST(stop AS DATE), d + 364), INTERVAL 1 DAY)) AS day FROM {STAY} s JOIN i ON s.o_custkey = i.o_custkey)
