@@ -255,13 +255,14 @@ def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, id_col: str = "d
     found = stage(_find_anchors(docs, span, k), "anchors")
     shared = found.groupBy("class").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").select("class", (F.col("c0") != F.col("c1")).alias("mixed"))
     shared = stage(shared, "classes")  # apart from its own shuffle, the join can split a class that has very many rows
-    found = stage(found.join(shared, "class"), "shared")
-    distinct = found.where("mixed").groupBy("class", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "left", "run")).alias("at"))
+    # copies of one text have the same rows: they are counted before they are shuffled
+    found = stage(found.join(shared, "class").groupBy("class", "ctx", "mixed", "k1", "k2", "lo", "left", "run").agg(F.count("*").alias("m")), "shared")
+    distinct = found.where("mixed").groupBy("class", "ctx").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2", "lo", "left", "run")).alias("at"))
     sizes = found.where("mixed").select("class", "ctx").distinct().groupBy("class").agg(F.count("*").alias("contexts"))
     wanted = distinct.join(sizes, "class").select("class", "ctx", "n", "contexts", "at.*")
     contexts = stage(_contexts(docs, wanted, span), "contexts")
     unique = _settle_sorted(contexts, span, k).union(_settle_counted(contexts, span))
-    unique = unique.groupBy("class", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("uniq"))
+    unique = stage(unique.groupBy("class", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("uniq")), "unique")
     spans = found.join(unique, ["class", "ctx"], "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "left", "run", "uniq")).alias("found"))
     fields = "doc_id " + df.schema[id_col].dataType.simpleString() + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
