@@ -27,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; cuts lineage and recomputation."""
+    """Write ``df`` once to the shared folder and read it back; cuts lineage and recomputation.
+
+    The folder goes when the driver's JVM ends in order.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,6 +45,17 @@ def utf8(col: Column | str) -> Column:
     return F.coalesce(col.cast("binary"), F.lit(b"").cast("binary"))
 
 
+def fresh(names: list[str], *bases: str) -> list[str]:
+    """Column names like ``bases`` that a frame with ``names`` does not have."""
+    taken, out = {n.lower() for n in names}, []
+    for b in bases:
+        while b.lower() in taken:
+            b += "_"
+        taken.add(b.lower())
+        out.append(b)
+    return out
+
+
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow binary array without copying; row i is ``bytes[offsets[i]:offsets[i + 1]]``."""
     if isinstance(col, pa.ChunkedArray):

@@ -53,7 +53,7 @@ BROADCAST_HOSTS = 100_000
 
 
 class Element:
-    __slots__ = ("boiler", "heading", "in_main", "in_header", "name", "role")
+    __slots__ = ("boiler", "in_header", "in_main", "name", "role")
 
     def __init__(self, name: str, role: str, boiler: bool, in_main: bool, in_header: bool) -> None:
         self.name, self.role, self.boiler, self.in_main, self.in_header = name, role, boiler, in_main, in_header

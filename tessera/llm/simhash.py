@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, utf8
+from .common import fresh, stage, utf8
 from .components import components
 
 SEGMENTS = 7
@@ -139,15 +139,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     join, the only one that moves texts, has distinct keys whatever the groups' sizes.
     """
     at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField("__fp", T.LongType())])
+    fp, file, row = fresh(df.columns, "__fp", "__file", "__row")
+    schema = T.StructType([*df.schema.fields, T.StructField(fp, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([fingerprint((t.as_py() or "").encode(), width) for t in b.column(at)], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=schema.fieldNames())
 
-    rows = stage(df.mapInArrow(run, schema), "documents").withColumn("__file", F.col("_metadata.file_name")).withColumn("__row", F.col("_metadata.row_index"))
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__file").alias("__file"), F.col("__row").alias("__row"))
-    fps = stage(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("least")), "fps")
-    chosen = fps.join(_lowest(fps), "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.__file", "least.__row")
-    return rows.join(chosen, ["__file", "__row"], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    rows = stage(df.mapInArrow(run, schema), "documents").withColumn(file, F.col("_metadata.file_name")).withColumn(row, F.col("_metadata.row_index"))
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(row).alias("row"))
+    fps = stage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("least")), "fps")
+    chosen = fps.join(_lowest(fps), "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.file").alias(file), F.col("least.row").alias(row))
+    return rows.join(chosen, [file, row], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

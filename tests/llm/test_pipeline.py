@@ -95,5 +95,9 @@ def test_odd_rows(spark):
 
     kept = [r.doc_id for r in simhash.keep_one(df).collect()]
     assert len(kept) == groups(rows) and kept.count(1) == 1 and None not in kept
+    clash = df.selectExpr("*", "1 as __fp", "2 as __row", "'f' as __file", "3 as probability", "4 as kept", "5 as raw", "6 as item_id")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, clash, SF).columns == clash.columns
+    assert len(simhash.keep_one(clash).collect()) == len(kept)
     redacted = [r.text for r in sc.redact_documents(df).collect()]
     assert sum("[SECRET]" in (t or "") for t in redacted) == 1 and redacted.count(None) == 1
