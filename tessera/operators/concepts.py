@@ -205,7 +205,7 @@ def data_dictionary(source: DataFrame, group_by: Sequence[str], person: str, dat
 
     Arrays on the way are exploded one at a time for their root only.
     """
-    from ..functions.schema import array_depth, quoted, standard_roots
+    from ..functions.schema import array_depth, standard_roots
 
     rows = mark_unknown(date_parts(source, date, group_by), group_by)
     parts = []

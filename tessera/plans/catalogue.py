@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import demographics as dem
 from ..functions import gamma
-from ..functions.dates import date_parts, mark_unknown
-from ..functions.schema import flatten, select_by_regex
+from ..functions.dates import date_parts
 from ..operators import analytics, codes, cohort, concepts, extraction, indexing, matching, measurements, ontology, profiling
 from ..session import checkpointed
 from ..session import table as T
