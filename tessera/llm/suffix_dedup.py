@@ -256,7 +256,9 @@ def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, id_col: str = "d
     shared = found.groupBy("class").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1").select("class", (F.col("c0") != F.col("c1")).alias("mixed"))
     shared = stage(shared, "classes")  # apart from its own shuffle, the join can split a class that has very many rows
     # copies of one text have the same rows: they are counted before they are shuffled
-    found = stage(found.join(shared, "class").groupBy("class", "ctx", "mixed", "k1", "k2", "lo", "left", "run").agg(F.count("*").alias("m")), "shared")
+    # (as one struct, so that the counts are not tied to the join's tasks, of which a large class needs several)
+    same = F.struct("class", "ctx", "mixed", "k1", "k2", "lo", "left", "run").alias("same")
+    found = stage(found.join(shared, "class").groupBy(same).agg(F.count("*").alias("m")).select("same.*", "m"), "shared")
     distinct = found.where("mixed").groupBy("class", "ctx").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2", "lo", "left", "run")).alias("at"))
     sizes = found.where("mixed").select("class", "ctx").distinct().groupBy("class").agg(F.count("*").alias("contexts"))
     wanted = distinct.join(sizes, "class").select("class", "ctx", "n", "contexts", "at.*")
