@@ -30,21 +30,25 @@ from .common import pieces, stage, utf8
 
 MAGIC = b"TKB1"
 BLOB_BYTES = 4 << 20
-CACHE_WORDS = 1_200_000
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-# The split pattern of the vocabulary, for the characters of PLAIN.
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+CACHE_WORDS = 200_000
+CACHE_PIECES = 1_500_000
+CHUNK = 1 << 20
+#: Stands between texts that are encoded together; no plain text holds it.
+BETWEEN = "\x01"
+PLAIN = re.compile("[ \t-\r!-~À-ÖØ-öø-ÿ]*")
+# The split pattern of the vocabulary, for the characters of PLAIN in lower case; white space falls out.
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\x01|[^a-zß-öø-ÿ0-9 \t-\r\x01]+")
 #: Index columns: name and little-endian type.
 INDEX = (("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4"), ("before", "<u8"))
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, kept by word and by piece.
+    """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
     White space always ends a piece of this vocabulary, and normalisation never
-    reaches across it, so a text's ids are its words' ids in order.  Words of
-    plain Latin characters are further cut into the pieces of the split pattern, of
-    which far fewer are distinct; any other word goes to the library whole.
+    reaches across it, so a text's ids are its pieces' ids in order.  Texts of plain
+    Latin characters are cut by the split pattern, many at a time; in any other text this is done word
+    by word, and words with other characters go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,16 +60,21 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         vocab = self.lib.get_vocab()
-        self.kind = np.dtype("<u2") if max(vocab.values(), default=0) < 1 << 16 else np.dtype("<u4")
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        top = max(vocab.values(), default=0)
+        self.kind = np.dtype("<u2") if top < 0xFF00 else np.dtype("<u4")
+        #: No id has a high byte of 255, so that this never occurs in serialized ids, at any offset.
+        self.cut = b"\xff" * self.kind.itemsize
+        if top >> (8 * self.kind.itemsize - 8) >= 0xFF:
+            raise ValueError("ids are too large for the separator")
+        self.ends = np.zeros(top + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {BETWEEN: self.cut}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Encode distinct pieces, many to a call; a piece ends at the token that has the end-of-word mark."""
         for lo in range(0, len(new), 256):
             part = new[lo : lo + 256]
@@ -80,37 +89,44 @@ class WordEncoder:
                 for p in part:
                     self.pieces[p] = self._library(p)
 
-    def _learn(self, new: set[bytes]) -> None:
-        cut, odd = {}, []
-        for w in new:
-            s = w.decode("utf-8", "replace")
-            if PLAIN.fullmatch(s):
-                cut[w] = SPLIT.findall(s.lower())
-            else:
-                odd.append((w, s))
-        self._learn_pieces(sorted({p for ps in cut.values() for p in ps if p not in self.pieces}))
-        kept = self.pieces
-        for w, ps in cut.items():
-            self.words[w] = b"".join([kept[p] for p in ps])
-        for w, s in odd:
-            self.words[w] = self._library(s)
+    def _plain(self, text: str) -> bytes:
+        found = SPLIT.findall(text.lower())
+        if len(self.pieces) > CACHE_PIECES:  # bounded: they are forgotten when there are too many
+            self.pieces = {BETWEEN: self.cut}
+        if new := set(found) - self.pieces.keys():
+            self._learn(sorted(new))
+        return b"".join(map(self.pieces.__getitem__, found))
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        return self._plain(text) if PLAIN.fullmatch(text) else self._library(text)
+
+    def _other(self, raw: bytes) -> bytes:
+        """A text with other characters, word by word."""
+        words = raw.split()
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        for w in set(words) - self.words.keys():
+            self.words[w] = self._word(w)
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Serialized ids of each text, a few megabytes of texts at a time."""
+        """Serialized ids of each text, about a megabyte of texts at a time."""
+        out: list[bytes | None] = [None] * len(texts)
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        return [x for lo, hi in pieces(offs, 2 << 20) for x in self._encode(texts[lo:hi])]
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        """The kept words are bounded: they are forgotten when there are too many."""
-        split = [t.split() for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.pieces.clear()
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        for lo, hi in pieces(offs, CHUNK):
+            at, plain = [], []
+            for i in range(lo, hi):
+                text = texts[i].decode("utf-8", "replace")
+                if PLAIN.fullmatch(text):
+                    at.append(i)
+                    plain.append(text)
+                else:
+                    out[i] = self._other(texts[i])
+            if plain:
+                for i, ids in zip(at, self._plain(BETWEEN.join(plain)).split(self.cut), strict=True):
+                    out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
