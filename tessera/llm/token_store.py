@@ -93,7 +93,7 @@ class WordEncoder:
         found = SPLIT.findall(text.lower())
         if len(self.pieces) > CACHE_PIECES:  # bounded: they are forgotten when there are too many
             self.pieces = {BETWEEN: self.cut}
-        if new := set(found) - self.pieces.keys():
+        if new := set(found).difference(self.pieces):  # looks up the few found, not the many kept
             self._learn(sorted(new))
         return b"".join(map(self.pieces.__getitem__, found))
 
@@ -106,7 +106,7 @@ class WordEncoder:
         words = raw.split()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        for w in set(words) - self.words.keys():
+        for w in set(words).difference(self.words):
             self.words[w] = self._word(w)
         return b"".join(map(self.words.__getitem__, words))
 
