@@ -93,15 +93,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]], rules: Rules) -> list[tuple[int, int, int]]:
-    """Dense windows of candidate strings that no allow-list pattern covers and no base span touches."""
+    """Dense windows of candidate strings that no allow-list pattern covers, without base spans.
+
+    What base spans leave of a candidate is searched piece by piece, as if each stood alone.
+    """
     out = []
+
+    def allowed(s: str) -> bool:
+        return len(s) < rules.window or s.isalpha() or any(p.fullmatch(s) for p in ALLOWED)
+
     for m in CANDIDATE.finditer(text):
         s = m[0].strip("=-_/+")
-        if len(s) < rules.window or s.isalpha() or any(p.fullmatch(s) for p in ALLOWED):
+        if allowed(s):
             continue
         at = m.start() + m[0].index(s)
-        out += [(at + a, 3, at + b) for a, b in dense_windows(s, rules)]
-    return [x for x in out if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        found = [(at + a, at + b) for a, b in dense_windows(s, rules)]
+        end = at + len(s)
+        cuts = sorted((b[0], b[2]) for b in base if b[0] < end and at < b[2])
+        if cuts:
+            found = [x for x in found if not any(a < x[1] and x[0] < b for a, b in cuts)]
+            for a, b in [*cuts, (end, end)]:
+                piece = text[at:a].strip("=-_/+")
+                if not allowed(piece):
+                    start = at + text[at:a].index(piece)
+                    found += [(start + x, start + y) for x, y in dense_windows(piece, rules)]
+                at = max(at, b)
+        for a, b in sorted(found):
+            if out and a <= out[-1][2]:
+                out[-1] = (out[-1][0], 3, max(b, out[-1][2]))
+            else:
+                out.append((a, 3, b))
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
