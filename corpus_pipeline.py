@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontaminate, quality_rules, secrets, simhash
+from tessera.llm import byte_bpe, decontaminate, quality_rules, secrets, shingles
 from tessera.llm.queries import BYTE_RANKS, table
 
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group: five-word similarity of 0.8 or more, or fingerprints within two bits."""
+    return shingles.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
