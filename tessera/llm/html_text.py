@@ -5,7 +5,8 @@ class and id words.  Tokens of a host that occur equally often on every page sha
 an occurrence vector, kept as one additive hash, and form an equivalence
 class.  Classes that occur once a page are valid; nested by their paths they are the host's
 template.  What lies inside a template element is its slot; the slot that holds
-most of the text outside boilerplate elements is the article.
+most of the text outside boilerplate elements leads to the article: to the outermost named
+element around it, or else to all text outside boilerplate.
 """
 
 from __future__ import annotations
@@ -173,11 +174,18 @@ def own_role(parts: list) -> str | None:
     return max(fit)[3] if fit else None
 
 
+def article_role(role: str | None) -> str | None:
+    """The outermost named element around the slot; None, for all text outside boilerplate, if there is none."""
+    steps = role.split("/") if role else []
+    return next((r for k in range(2, len(steps) + 1) if is_named(r := "/".join(steps[:k]))), None)
+
+
 def main_text(page: str, role: str | None) -> str:
-    """The text of the slot ``role``, or of the page's own slot where it lacks that; white space becomes one space."""
+    """The article's text by the slot ``role``, or by the page's own slot where it lacks that; white space becomes one space."""
     parts = segments(page)
     if role is None or not any(role in p[1] and not p[2] and p[0].strip() for p in parts):
         role = own_role(parts)
+    role = article_role(role)
     inside = [t for t, roles, boiler, _ in parts if not boiler and (role is None or role in roles)]
     return " ".join("".join(inside).split())
 
