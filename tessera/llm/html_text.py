@@ -54,10 +54,12 @@ BROADCAST_HOSTS = 100_000
 
 
 class Element:
-    __slots__ = ("boiler", "in_header", "in_main", "name", "role")
+    """``worded``: the elements around it that class or id words call boilerplate; ``in_header``: those around the article's own header."""
 
-    def __init__(self, name: str, role: str, boiler: bool, in_main: bool, in_header: bool) -> None:
-        self.name, self.role, self.boiler, self.in_main, self.in_header = name, role, boiler, in_main, in_header
+    __slots__ = ("boiler", "in_header", "in_main", "name", "role", "worded")
+
+    def __init__(self, name: str, role: str, boiler: bool, in_main: bool, in_header: tuple[int, ...] | None, worded: tuple[int, ...]) -> None:
+        self.name, self.role, self.boiler, self.in_main, self.in_header, self.worded = name, role, boiler, in_main, in_header, worded
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -65,24 +67,29 @@ def attributes(text: str) -> dict[str, str]:
 
 
 @lru_cache(maxsize=4096)
-def nature(name: str, attr_text: str) -> tuple[frozenset[str], bool, bool]:
-    """(class and id words, says it is the article?, boilerplate or hidden?) of a start tag."""
+def nature(name: str, attr_text: str) -> tuple[frozenset[str], bool, bool, bool]:
+    """(class and id words, says it is the article?, boilerplate by its tag or hidden?, boilerplate by its words?) of a start tag."""
     attr = attributes(attr_text)
     named = [attr.get(k, "").lower() for k in ("class", "id", "role", "itemprop")]
     words = frozenset(w for v in named for w in re.split(r"[^a-z]+", re.sub(r"[-_]?\d+", "", v)) if w)
     whole = frozenset(re.sub(r"[^a-z]", "", x) for v in named for x in v.split())
     main = name in MAIN_TAGS or bool(MAIN_WORDS & whole)
-    boiler = name in BOILER_TAGS or (not main and name != "body" and bool(BOILER_WORDS & (words | whole)))
-    return words, main, boiler or "hidden" in attr or attr.get("aria-hidden") == "true" or bool(HIDDEN.search(attr.get("style", "")))
+    hidden = "hidden" in attr or attr.get("aria-hidden") == "true" or bool(HIDDEN.search(attr.get("style", "")))
+    return words, main, name in BOILER_TAGS or hidden, not main and name != "body" and bool(BOILER_WORDS & (words | whole))
 
 
 def segments(page: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
     """(text, roles of the structural elements around it, boilerplate?, in a named article?) in page order.
 
-    Block elements and br are cut points: they come as a segment of one space.
+    Block elements and br are cut points: they come as a segment of one space.  Where no article or main
+    with text stands outside all elements that words call boilerplate, the words of an element that encloses one do not
+    count, nor do those of an element with most of the text unless all of them are boilerplate words.
     """
-    out: list[tuple[str, tuple[str, ...], bool, bool]] = []
-    stack = [Element("", "", False, False, False)]
+    out: list[tuple[str, tuple[str, ...], bool, bool, tuple[int, ...]]] = []
+    stack = [Element("", "", False, False, None, ())]
+    pure: list[bool] = []
+    encloses: set[int] = set()
+    free = False
     roles: tuple[str, ...] = ()
     at, n = 0, len(page)
 
@@ -97,8 +104,11 @@ def segments(page: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
                 return
 
     def emit(text: str) -> None:
+        nonlocal free
         e = stack[-1]
-        out.append((text, roles, e.boiler, e.in_main))
+        out.append((text, roles, e.boiler, e.in_main, e.worded))
+        if not free and not e.boiler and not e.worded and text.strip():
+            free = any(x.name in MAIN_TAGS for x in stack)
 
     while at < n:
         lt = page.find("<", at)
@@ -134,16 +144,33 @@ def segments(page: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
         if m[3].rstrip().endswith("/") and name in ("svg", "path", "use"):
             continue
         top = stack[-1]
-        words, main, boiler = nature(name, m[3] if TELLING.search(m[3]) else "")
-        header = top.in_header or (name == "header" and top.in_main and not top.boiler)
-        hidden = top.boiler or boiler
-        if header and name in HEADINGS and not boiler and top.in_header:
-            hidden = False  # the title in an article's own header
+        words, main, boiler, worded = nature(name, m[3] if TELLING.search(m[3]) else "")
+        header = top.in_header
+        if header is None and name == "header" and top.in_main and not top.boiler:
+            header = top.worded
+        hidden, around = top.boiler or boiler, top.worded
+        if name in MAIN_TAGS and not hidden:
+            encloses.update(around)
+        if name in HEADINGS and not boiler and not worded and top.in_header is not None:
+            hidden, around = False, top.in_header  # the title in an article's own header
+        if worded and not hidden:
+            around = (*around, len(pure))
+            pure.append(words <= BOILER_WORDS)
         role = "" if not block or name in ("p", "br") else f"{roles[-1] if roles else ''}/{name}{'.' if words else ''}{'.'.join(sorted(words))}"
-        stack.append(Element(name, role, hidden, top.in_main or main, header))
+        stack.append(Element(name, role, hidden, top.in_main or main, header, around))
         if role:
             roles = (*roles, role)
-    return out
+    stands = set(range(len(pure)))
+    if pure and not free:
+        total, held = 0, [0] * len(pure)
+        for text, _, boiler, _, around in out:
+            if not boiler:
+                k = len(text) - text.count(" ")
+                total += k
+                for i in around:
+                    held[i] += k
+        stands = {i for i in stands if i not in encloses and (pure[i] or 2 * held[i] <= total)}
+    return [(text, where, boiler or not stands.isdisjoint(around), in_main) for text, where, boiler, in_main, around in out]
 
 
 def role_stats(parts: list) -> tuple[dict[str, int], int]:
