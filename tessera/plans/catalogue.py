@@ -339,6 +339,12 @@ def gamma_survival(spark, d):
     return rounded(e.select("event_id", gamma.gamma_survival(1 + F.col("user_id") % 7, F.lit(1.0), 0.5 + F.col("value") / 10).alias("sf")), "sf", digits=9)
 
 
+@query("""SELECT event_id, round(list_sum(list_transform(range(0, 1 + user_id % 7), lambda i: exp(-(0.5 + value / 10) + i * ln(0.5 + value / 10) - lgamma(i + 1)))), 9) AS sf FROM events""")
+def gamma_survival_all(spark, d):
+    e = T(spark, d, "events")
+    return rounded(e.select("event_id", gamma.gamma_survival(1 + F.col("user_id") % 7, F.lit(1.0), 0.5 + F.col("value") / 10).alias("sf")), "sf", digits=9)
+
+
 @query("""SELECT c_mktsegment, 'c_acctbal' AS characteristic, CAST(NULL AS VARCHAR) AS level, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS sd, CAST(NULL AS DOUBLE) AS share FROM customer GROUP BY 1
 UNION ALL SELECT c_mktsegment, 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*), NULL, NULL, round(count(*) / sum(count(*)) OVER (PARTITION BY c_mktsegment), 4) FROM customer GROUP BY c_mktsegment, c_nationkey""")
 def stratified_baseline(spark, d):
