@@ -108,6 +108,12 @@ def extract_absolute_window(spark, d):
     return extraction.extract(e, e.where("user_id < 50").select("user_id"), ["user_id"], date="ts", start="2024-01-05", stop="2024-01-20", fields=["event_id", "user_id"])
 
 
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'")
+def extract_absolute_window_all(spark, d):
+    e = T(spark, d, "events")
+    return extraction.extract(e, e.select("user_id"), ["user_id"], date="ts", start="2024-01-05", stop="2024-01-20", fields=["event_id", "user_id"])
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')")
 def cohort_semi(spark, d):
     urgent = T(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
