@@ -18,6 +18,8 @@ BITS = 15
 GROUPS = 3  # character 4-grams, words, word pairs
 SIZE = GROUPS << BITS
 SCALE = 60.0
+#: Pairs of sparse rows that one step of the fit holds as doubles.
+BLOCK = 1 << 18
 
 
 class Limits(NamedTuple):
@@ -96,18 +98,37 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 60, rate: float = 0.3, l2: float = 1e-6) -> tuple[np.ndarray, float]:
+class Sparse(NamedTuple):
+    """Rows of (index, value) pairs, one after another; products go over ``BLOCK`` pairs or a row at a time."""
+
+    starts: np.ndarray
+    idx: np.ndarray
+    val: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.starts) - 1)
+        for lo, hi in pieces(self.starts, BLOCK):
+            at = slice(self.starts[lo], self.starts[hi])
+            of = np.repeat(np.arange(hi - lo), np.diff(self.starts[lo : hi + 1]))
+            out[lo:hi] = np.bincount(of, w[self.idx[at]] * self.val[at], minlength=hi - lo)
+        return out
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(SIZE)
+        for lo, hi in pieces(self.starts, BLOCK):
+            at = slice(self.starts[lo], self.starts[hi])
+            out += np.bincount(self.idx[at], self.val[at] * np.repeat(g[lo:hi], np.diff(self.starts[lo : hi + 1])), minlength=SIZE)
+        return out
+
+
+def fit_logistic(x: Sparse, y: np.ndarray, steps: int = 60, rate: float = 0.3, l2: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights of sparse rows by Adam over all rows, the classes weighing alike."""
-    y = np.array([r[0] for r in rows], float)
-    idx = np.concatenate([r[1] for r in rows])
-    val = np.concatenate([r[2] for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(SIZE), 0.0
     m1, m2, c1, c2 = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
     for k in range(1, steps + 1):
-        g = (_sigmoid(np.bincount(of, w[idx] * val, minlength=len(rows)) + b) - y) * share
-        gw = np.bincount(idx, val * g[of], minlength=SIZE) + l2 * w
+        g = (_sigmoid(x.times(w) + b) - y) * share
+        gw = x.transposed_times(g) + l2 * w
         gb = g.sum()
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.999 * m2 + 0.001 * gw * gw
         c1, c2 = 0.9 * c1 + 0.1 * gb, 0.999 * c2 + 0.001 * gb * gb
@@ -151,14 +172,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "d
                     [b.column(2).slice(lo, hi - lo).cast(pa.string()), b.column(0).slice(lo, hi - lo), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["k", "y", "idx", "val"]
                 )
 
-    got = sorted(labelled_sample(docs, labels, "quality", most, None, id_col, text_col).mapInArrow(run, "k string, y int, idx binary, val binary").collect(), key=lambda r: (r["k"], r["y"], bytes(r["idx"])))
-    rows = [(r["y"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got]
-    held, fit = rows[::5], [r for i, r in enumerate(rows) if i % 5]
-    if any(len({r[0] for r in part}) < 2 for part in (held, fit)):
+    some = labelled_sample(docs, labels, "quality", most, None, id_col, text_col)
+    some = some.groupBy("k", "y").agg(F.min_by("raw", F.struct(F.xxhash64("raw"), "raw")).alias("raw")).select("y", "raw", "k")  # one row of a repeated id
+    got = some.mapInArrow(run, "k string, y int, idx binary, val binary").toArrow()  # a row has at most SIZE pairs
+    got = got.take(np.array(sorted(range(len(got)), key=lambda i: (got["k"][i].as_py(), got["y"][i].as_py())), int))
+    place = np.arange(len(got))
+
+    def part(at: np.ndarray) -> tuple[Sparse, np.ndarray]:
+        rows = got.take(at)
+        (idx, offs), (val, _) = (buffer_of(rows[c]) for c in ("idx", "val"))
+        return Sparse(offs // 4, idx.view(np.int32), val.view(np.float32)), rows["y"].to_numpy().astype(float)
+
+    held, fit = part(place[::5]), part(place[place % 5 > 0])
+    del got
+    if any(len(set(y)) < 2 for _, y in (held, fit)):
         return None
-    w, b = fit_logistic(fit)
-    m = np.array([(w[i] * v).sum() + b for _, i, v in held])
-    return Model(w.astype(np.float32), b, *calibrate(m, np.array([r[0] for r in held], float)))
+    w, b = fit_logistic(*fit)
+    return Model(w.astype(np.float32), b, *calibrate(held[0].times(w) + b, held[1]))
 
 
 def judge(x: Batch, m: Model | None, limits: Limits) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
