@@ -3,7 +3,8 @@
 The 64 bits are cut into ``m`` ring segments.  If two fingerprints differ in
 at most ``t`` bits, some segment starts a chain whose first l segments differ in at
 most floor(l * t / m) bits together, for every l.  The chain's leading run with budget zero is an
-equality, hence a join key; the later budgets prune before the full Hamming check.
+equality, hence a join key; the later budgets prune before the full Hamming check.  Where too many
+fingerprints share a key, the later budgets make longer keys of it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .components import components
 
 SEGMENTS = 7
 DISTANCE = 2
-#: Key groups up to this size are joined with themselves; larger ones are linked through shared centres.
+#: Key groups up to this size are joined with themselves; larger ones get longer keys first.
 GROUP = 32
 _ROWS = 1 << 15
 
@@ -78,36 +79,62 @@ def chain_masks(m: int, t: int) -> list[list[int]]:
     return out
 
 
-def links(fps: DataFrame, m: int = SEGMENTS, t: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """Edges (u > v) that connect exactly what the pairs within ``t`` bits connect.
+def longer_keys(m: int = SEGMENTS) -> list[list[list[int]]]:
+    """Masks of join keys by level; a level lists, for each mask of the one before, the masks that split its groups.
 
-    ``fps``: distinct longs in a column fp.  Groups of a key up to ``group`` members are
-    joined: at most ``group`` / 2 pairs for each row.  Members of a larger group send
-    themselves to every centre within one bit (65 rows each): two fingerprints are
-    within two bits if and only if they share a centre, so each centre links its
-    members to its smallest, with no pairs.  ``t`` is 2 there; for another ``t`` all groups are joined.
+    For seven segments and two bits.  Three equal segments begin a chain.  Of the next three two are equal,
+    for they differ in at most one bit together: three masks of five segments.  Of the two that are left either the
+    first is equal, or both differ in one bit at most, so that a half of each is equal: five masks, whose groups cannot
+    have more than 1,024 members, as at most ten bits are free.
     """
-    masks = chain_masks(m, t)
-    free = max(k for k in range(1, m + 1) if k * t // m == 0)
-    keys = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(ms[free - 1]))) for ms in masks))).alias("i", "key"))
-    sizes = keys.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keys.join(sizes, ["i", "key"])
-    small = sized.where(F.col("n") <= group) if t == 2 else sized
-    a, b = small.select("i", "key", F.col("fp").alias("v")), small.select("i", "key", F.col("fp").alias("u"))
+    cuts = [64 * k // m for k in range(m + 1)]
+    bits = lambda a, b: ((1 << b) - 1) ^ ((1 << a) - 1)
+    seg = [bits(cuts[k], cuts[k + 1]) for k in range(m)]
+    halves = [(bits(a, (a + b) // 2), bits((a + b) // 2, b)) for a, b in zip(cuts, cuts[1:])]
+    starts, some, most = [], [], []
+    for i in range(m):
+        k = [(i + j) % m for j in range(m)]
+        starts.append(seg[k[0]] | seg[k[1]] | seg[k[2]])
+        some.append([])
+        for e in (3, 4, 5):
+            base = starts[i]
+            for j in {3, 4, 5} - {e}:
+                base |= seg[k[j]]
+            some[i].append(base)
+            most.append([base | seg[k[e]], *(base | x | y for x in halves[k[e]] for y in halves[k[6]])])
+    return [[starts], some, most]
+
+
+def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
+    """Edges (u > v): all pairs within two bits.
+
+    ``fps``: distinct longs in a column fp.  Groups of a key up to ``group`` members are joined: at most
+    ``group`` / 2 pairs for each row.  Members of a larger group go on with the longer keys of
+    :func:`longer_keys`; groups of the longest are joined whole, being bounded by their free bits.
+    """
+    chains = chain_masks(SEGMENTS, DISTANCE)
+    levels = longer_keys()
     x = F.col("u").bitwiseXOR(F.col("v"))
     budget = F.lit(True)
-    for ln in range(free + 1, m):
-        at = F.element_at(F.array(*(F.lit(signed(ms[ln - 1])) for ms in masks)), F.col("i") + 1)
-        budget = budget & (F.bit_count(x.bitwiseAND(at)) <= ln * t // m)
-    pairs = a.join(b, ["i", "key"]).where((F.col("u") > F.col("v")) & budget & (F.bit_count(x) <= t)).select("u", "v")
-    if t != 2:
-        return pairs.distinct()
-    hot = sized.where(F.col("n") > group).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << k)) for k in range(64)))
-    centres = hot.select("fp", F.explode(F.transform(flips, lambda e: F.col("fp").bitwiseXOR(e))).alias("centre"))
-    met = centres.groupBy("centre").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # at most 65 each
-    stars = met.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u > v").select("u", "v")
-    return pairs.union(stars).distinct()
+    for ln in range(4, SEGMENTS):  # three segments are equal
+        at = F.element_at(F.array(*(F.lit(signed(ms[ln - 1])) for ms in chains)), F.col("i") + 1)
+        budget = budget & (F.bit_count(x.bitwiseAND(at)) <= ln * DISTANCE // SEGMENTS)
+    found, rows = None, fps.select("fp", F.lit(0).alias("of"))
+    for depth, masks in enumerate(levels):
+        width = len(masks[0])
+        keys = F.array(*(F.col("fp").bitwiseAND(F.element_at(F.array(*(F.lit(signed(ms[h])) for ms in masks)), F.col("of") + 1)) for h in range(width)))
+        keyed = rows.select("fp", "of", F.posexplode(keys).alias("h", "key")).select("fp", (F.col("of") * width + F.col("h")).alias("i"), "key")
+        sized = keyed.join(keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1"), ["i", "key"])
+        last = depth == len(levels) - 1
+        small = sized if last else sized.where(F.col("n") <= group)
+        a, b = small.select("i", "key", F.col("fp").alias("v")), small.select("i", "key", F.col("fp").alias("u"))
+        pairs = a.join(b, ["i", "key"]).where((F.col("u") > F.col("v")) & (F.lit(True) if depth else budget) & (F.bit_count(x) <= DISTANCE)).select("u", "v")
+        found = pairs if found is None else found.union(pairs)
+        if not last:
+            rows = stage(sized.where(F.col("n") > group).select("fp", F.col("i").alias("of")), "hot")
+            if rows.isEmpty():
+                break
+    return found.distinct()
 
 
 def _lowest(fps: DataFrame) -> DataFrame:
@@ -135,8 +162,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: that of the smallest id (a null id comes last; of repeated ids one row).
 
-    Rows are told apart by file and row number of a staged copy, so that the last
-    join, the only one that moves texts, has distinct keys whatever the groups' sizes.
+    Rows are told apart by file and row number of a staged copy; the last join takes away
+    the rows that go, so that texts move only if even those are too many to broadcast.
     """
     at = df.columns.index(text_col)
     fp, file, row = fresh(df.columns, "__fp", "__file", "__row")
@@ -151,4 +178,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(row).alias("row"))
     fps = stage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("least")), "fps")
     chosen = fps.join(_lowest(fps), "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.file").alias(file), F.col("least.row").alias(row))
-    return rows.join(chosen, [file, row], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    gone = stage(rows.select(file, row).join(chosen, [file, row], "left_anti"), "gone")
+    return rows.join(gone, [file, row], "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
