@@ -12,6 +12,11 @@ bytes from the anchor on).  The suffix array of the distinct phrases and that
 of the distinct parse suffixes, with their common-prefix lengths, are combined into
 the class's corpus order, where equal strings stand side by side.  Phrases and parse suffixes that
 repeat as a whole are counted once, with their number: only distinct ones are ever sorted.
+
+A class with too many for one task is split by more of its bytes.  Strings at a distance of a to b from their anchor
+all hold the a bytes before it and the span - b bytes from it on; for each of a few such ranges these bytes
+make the smaller classes.  What is still too large has hardly any other byte than those, and there each string is a class
+of its own: its strings are counted.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +35,9 @@ from .textstats import BYTE_VALUE, PIECE, mix, powers
 
 SPAN = 400
 K = 100
-#: Distinct contexts of one class that one task sorts; strings of larger classes are counted by their hashes instead.
-CLASS_ROWS = 4096
+#: Distinct contexts of one class that one task sorts; larger classes are split by ranges of distances, so many.
+CLASS_ROWS = 1024
+RANGES = 8
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -201,34 +208,59 @@ def _contexts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     return texts.select("k1", "k2", "raw").join(by_text, ["k1", "k2"]).select("k1", "k2", "raw", "found").mapInArrow(run, "class long, ctx long, n long, contexts long, left int, run int, bytes binary")
 
 
+def _split(contexts: DataFrame, span: int, k: int) -> DataFrame:
+    """Contexts of large classes, cut to the strings of each range of distances, in the classes of these ranges (column key)."""
+    width = span - k + 1
+    cuts = np.unique(np.linspace(0, width, RANGES + 1).astype(int)).tolist()
+    schema = "key long, class long, ctx long, n long, left int, run int, bytes binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for cls, ctx, n, left, last, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for lo, hi in zip(cuts, cuts[1:]):
+                    far, close = min(hi - 1, left), max(lo, left - last)
+                    if far >= close:
+                        core = raw[left - lo : left + span - (hi - 1)]
+                        key = xxhash.xxh64_intdigest(core, cls & 0xFFFFFFFF) ^ (lo + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)
+                        out.append((key - (key >> 63 << 64), cls, ctx, n, far, far - close, raw[left - far : left - close + span]))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "class", "ctx", "n", "left", "run", "bytes"])
+
+    big = contexts.where(F.col("contexts") > CLASS_ROWS).dropDuplicates(["class", "ctx"])
+    parts = stage(big.select("class", "ctx", "n", "left", "run", "bytes").mapInArrow(run, schema), "parts")
+    return parts.join(parts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1"), "key", "left")
+
+
 def _settle_sorted(contexts: DataFrame, span: int, k: int) -> DataFrame:
-    """Unique distances of contexts in classes that one task can sort, many classes at a time."""
+    """Unique distances of contexts in classes (column key) that one task can sort, many classes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple] = {}
+        held: dict[tuple[int, int, int], tuple] = {}
 
         def settle() -> pa.RecordBatch:
             rows = list(held.values())
-            row, a, b = unique_distances([r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], span, k)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in row], pa.int64()), pa.array([rows[i][1] for i in row], pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["class", "ctx", "a", "b"])
+            row, a, b = unique_distances([r[0] for r in rows], [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], span, k)
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in row], pa.int64()), pa.array([rows[i][2] for i in row], pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["class", "ctx", "a", "b"])
 
         last = None
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[0] != last and len(held) >= max(1, CLASS_ROWS // 4):
+                if r[0] != last and len(held) >= max(1, CLASS_ROWS):
                     yield settle()
                     held = {}
                 last = r[0]
-                held[r[:2]] = r
+                held[r[:3]] = r
         if held:
             yield settle()
 
-    some = contexts.where(F.col("contexts") <= CLASS_ROWS).select("class", "ctx", "n", "left", "run", "bytes")
-    return some.repartition("class").sortWithinPartitions("class").mapInArrow(run, "class long, ctx long, a int, b int")
+    some = contexts.select("key", "class", "ctx", "n", "left", "run", "bytes")
+    return some.repartition("key").sortWithinPartitions("key").mapInArrow(run, "class long, ctx long, a int, b int")
 
 
 def _settle_counted(contexts: DataFrame, span: int) -> DataFrame:
-    """The same for larger classes: every string's hash is counted, and those counted once are unique."""
+    """The same for classes of whole strings: those that are there once are unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,8 +270,7 @@ def _settle_counted(contexts: DataFrame, span: int) -> DataFrame:
                 size = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(size, v, t)) for v, t in ((cls, np.int64), (ctx, np.int64), (n, np.int64))] + [pa.array((left - at).astype(np.int32)), pa.array(h.astype(np.int64))], names=["class", "ctx", "n", "d", "h"])
 
-    big = contexts.where(F.col("contexts") > CLASS_ROWS).dropDuplicates(["class", "ctx"]).select("class", "ctx", "n", "left", "run", "bytes")
-    strings = big.mapInArrow(run, "class long, ctx long, n long, d int, h long")
+    strings = contexts.select("class", "ctx", "n", "left", "run", "bytes").mapInArrow(run, "class long, ctx long, n long, d int, h long")
     once = strings.groupBy("class", "d", "h").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.min("ctx").alias("ctx")).where("m = 1 and n = 1")
     return once.select("class", "ctx", F.col("d").alias("a"), F.col("d").alias("b"))
 
@@ -263,7 +294,10 @@ def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, id_col: str = "d
     sizes = found.where("mixed").select("class", "ctx").distinct().groupBy("class").agg(F.count("*").alias("contexts"))
     wanted = distinct.join(sizes, "class").select("class", "ctx", "n", "contexts", "at.*")
     contexts = stage(_contexts(docs, wanted, span), "contexts")
-    unique = _settle_sorted(contexts, span, k).union(_settle_counted(contexts, span))
+    parts = _split(contexts, span, k)
+    whole = contexts.where(F.col("contexts") <= CLASS_ROWS).withColumn("key", F.col("class")).select(parts.columns)
+    small = F.coalesce("contexts", F.lit(1)) <= CLASS_ROWS
+    unique = _settle_sorted(whole.union(parts.where(small)), span, k).union(_settle_counted(parts.where(~small), span))
     unique = stage(unique.groupBy("class", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("uniq")), "unique")
     spans = found.join(unique, ["class", "ctx"], "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "left", "run", "uniq")).alias("found"))
     fields = "doc_id " + df.schema[id_col].dataType.simpleString() + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
