@@ -347,6 +347,7 @@ def _distinct_pages(pages: DataFrame) -> DataFrame:
     """One row of each page that a host has more than once (that of the least id; rows with that id again count again)."""
     marked = pages.withColumn("mark", F.xxhash64("raw"))
     copies = marked.groupBy("host", "mark").agg(F.min("page_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copies = stage(copies, "copies")  # so that its size is known, and few copies do not move the pages
     return marked.join(copies, ["host", "mark"], "left").where("least is null or page_id = least").select("host", "raw")
 
 
