@@ -56,10 +56,17 @@ def distinct_by(df: DataFrame, field: str | Sequence[str], entity: str | Sequenc
 
 
 def pivot_counts(df: DataFrame, ids: Sequence[str], names_from: str, index: Sequence[str], sort: str | None = None, limit: int | None = None, values: Sequence[str] | None = None) -> DataFrame:
-    """Distinct index rows counted by id and pivoted by a column's values; an unknown sort column means the first."""
+    """Distinct index rows counted by id and pivoted by a column's values; an unknown sort column means the first.
+
+    More values than ``spark.sql.pivotMaxValues`` are an error, as for any pivot.
+    """
     rows = df.select(*dict.fromkeys([*ids, names_from, *index])).distinct()
     if values is None:
-        values = sorted(r[0] for r in df.select(names_from).distinct().collect() if r[0] is not None)
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        found = df.select(names_from).where(F.col(names_from).isNotNull()).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{names_from} has more than {most} values")
+        values = sorted(r[0] for r in found)
     out = rows.groupBy(*ids).pivot(names_from, list(values)).agg(F.count(F.lit(1))).fillna(0, [str(v) for v in values])
     by = sort if sort in out.columns else out.columns[0]
     out = out.orderBy(F.desc(f"`{by}`"), *ids) if sort else out

@@ -50,9 +50,9 @@ def _label(receiver: str | None, codes: DataFrame, column: str) -> tuple[str, st
 def verify_by_pattern(source: DataFrame, field: str, codes: DataFrame, column: str = "codes", label: str | None = None, kind: str = "regex", distinct_first: bool = True) -> DataFrame:
     """Tag rows by every (group, pattern) that the field matches: a row that matches k patterns comes k times.
 
-    One scan of the source.  Patterns meet the distinct values of the field only, and the
-    tagged values meet the rows by an equality, so the cost of the patterns
-    does not grow with the rows; ``distinct_first=False`` suits dictionaries, whose values are
+    However many patterns there are, the source is scanned twice: once for the field alone, whose distinct values
+    meet the patterns, and once for the rows, which meet the tagged values by an equality.  So the cost of the patterns
+    does not grow with the rows; ``distinct_first=False`` is one scan and suits dictionaries, whose values are
     distinct already.
     """
     own, name = _label(label, codes, column)

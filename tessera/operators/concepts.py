@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,11 +153,12 @@ def _prepared(source, code, group_by, date, person):
 def ontology_counts(source: DataFrame, code: str, group_by: Sequence[str], person: str, *, ontology: Ontology | None = None, flags: Sequence[Mapping[str, str]] = (), concept_map: DataFrame | None = None, date: str | None = None, denominator: DataFrame | float | None = None) -> DataFrame:
     """Distinct persons by concept, by system and by code, with percentages of the group's persons.
 
-    The three grains are one grouping-sets aggregation over one scan; they meet again by null-safe
-    joins, so an unknown coding system keeps its rows.
+    The three grains are one grouping-sets aggregation over one scan; the coarser counts reach the codes by windows over
+    its result (as many rows as a group's concept has codes), where nulls are equal, so an unknown coding system keeps its rows.
+    Persons of each group, if not given, take a second scan of the group's columns.
     """
     rows, dims = _prepared(source, code, group_by, date, person)
-    m = F.broadcast(_map_for(ontology, flags, code, concept_map)) if concept_map is None else _map_for(ontology, flags, code, concept_map)
+    m = _map_for(ontology, flags, code, concept_map)  # no hint: its size decides
     system, ident = f"{code}_standard_codingSystemId", f"{code}_standard_id"
     long = rows.select(person, *group_by, *dims).join(m, (F.col(system) == F.col("__system")) & (F.col(ident) == F.col("__code"))).drop("__system", "__code")
     base = [*group_by, "conceptName"]
@@ -165,11 +166,9 @@ def ontology_counts(source: DataFrame, code: str, group_by: Sequence[str], perso
     sets = [base, [*base, system], [*base, system, *rest]]
     cube = long.groupingSets([[F.col(c) for c in s] for s in sets], *base, system, *rest).agg(F.count_distinct(person).alias("__n"), F.grouping_id().alias("__g"))
     levels = [(1 << (1 + len(rest))) - 1, (1 << len(rest)) - 1, 0]
-    pick = lambda k, cols, name: cube.where(F.col("__g") == levels[k]).select(*cols, F.col("__n").alias(name))
-    out = pick(2, sets[2], "countByCode")
-    for k, name in ((1, "countBySystem"), (0, "countByConcept")):
-        side = pick(k, sets[k], name).withColumnsRenamed({c: f"__{c}" for c in sets[k]})
-        out = out.join(side, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in sets[k]], "left").drop(*(f"__{c}" for c in sets[k]))
+    at = lambda k: F.max(F.when(F.col("__g") == levels[k], F.col("__n"))).over(Window.partitionBy(*sets[k]))
+    out = cube.withColumn("countBySystem", at(1)).withColumn("countByConcept", at(0)).where(F.col("__g") == levels[2])
+    out = out.select(*sets[2], F.col("__n").alias("countByCode"), "countBySystem", "countByConcept")
     if isinstance(denominator, (int, float)):
         out = out.withColumn("n", F.lit(float(denominator)))
     else:

@@ -16,6 +16,8 @@ from ..functions.demographics import age_group
 AGE_BOUNDS = (0, 3, 6, 13, 20, 30, 40, 200)
 AGE_LABELS = ("Infants and Toddlers", "Preschoolers", "School age", "Teenagers", "Young Adults", "Adults", "Other")
 CHUNK = 1 << 22
+#: Most distances (cases times controls) of one stratum: it is one task, and an hour's work.
+STRATUM_PAIRS = 100_000_000_000
 
 
 def standardize(df: DataFrame, columns: Sequence[str], over: DataFrame | None = None) -> DataFrame:
@@ -69,7 +71,8 @@ def _greedy(case_ids, case_x, need, pool_ids, pool_x) -> list[tuple]:
 def match(cases: DataFrame, controls: DataFrame, strata: Sequence[str], distances: Sequence[str], *, person: str = "personid", per_case: int = 4, need: str | None = None) -> DataFrame:
     """Nearest controls for every case inside its exact stratum, without replacement: case, control, rank, distance.
 
-    Strata run as cogrouped Arrow groups, so nothing is collected.  Rows with an unknown stratum
+    Strata run as cogrouped Arrow groups, so nothing is collected; a stratum of more than ``STRATUM_PAIRS`` cases times controls is an error
+    that asks for one more stratum.  Rows with an unknown stratum
     do not match; unknown coordinates count 0.  Ties go by ids.  ``need`` names a column of each case's own demand.
     """
     idt = cases.schema[person].dataType
@@ -79,6 +82,8 @@ def match(cases: DataFrame, controls: DataFrame, strata: Sequence[str], distance
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=schema.fieldNames())
+        if len(a) * len(b) > STRATUM_PAIRS:
+            raise ValueError(f"a stratum has {len(a)} cases and {len(b)} controls: add a stratum")
         x = lambda t: np.nan_to_num(t[coords].to_numpy(float))
         demand = a[need].to_numpy() if need else np.full(len(a), per_case)
         return pd.DataFrame(_greedy(a[person].tolist(), x(a), demand, b[person].tolist(), x(b)), columns=schema.fieldNames())

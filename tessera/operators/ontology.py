@@ -27,6 +27,10 @@ SEARCHES = {
 }
 
 
+#: Most distinct ids on either side of a crosswalk.
+CROSSWALK_IDS = 10_000
+
+
 class Patterns(NamedTuple):
     """Regular expressions, found anywhere in any case, all of which must hold; None holds always."""
 
@@ -99,10 +103,14 @@ def tagged_codes(df: DataFrame, code: str, table: str, display: bool = True) ->
 def crosswalk(data_systems: DataFrame, ontology_systems: DataFrame, cutoff: float = 0.6, most: int = 10, column: str = "codingSystemId") -> DataFrame:
     """Data coding systems to ontology systems that end in them, among the ``most`` alike by matching blocks.
 
-    Both sides are distinct ids, which are few: vocabularies, not data.
+    Both sides are distinct ids, which are few: vocabularies, not data.  More than ``CROSSWALK_IDS`` on either
+    side are an error, for all pairs are ranked.
     """
     a = data_systems.select(F.col(column).alias("dataSystemId")).where("dataSystemId is not null").distinct()
     b = ontology_systems.select(F.col(column).alias("ontologySystemId")).where("ontologySystemId is not null").distinct()
+    for side in (a, b):
+        if side.limit(CROSSWALK_IDS + 1).count() > CROSSWALK_IDS:
+            raise ValueError(f"more than {CROSSWALK_IDS} coding systems to compare")
     pairs = a.join(F.broadcast(b), F.col("ontologySystemId").endswith(F.col("dataSystemId")) | F.lit(cutoff > 0)).withColumn("similarity", similarity(F.col("dataSystemId"), F.col("ontologySystemId"))).where(F.col("similarity") >= cutoff)
     order = Window.partitionBy("dataSystemId").orderBy(F.desc("similarity"), F.desc("ontologySystemId"))
     near = pairs.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most)

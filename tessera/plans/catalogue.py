@@ -565,6 +565,38 @@ def ontology_context_names(spark, d):
     return ontology.search(relation(spark), "context_name_system", ontology.Patterns(code="^(promo|large)"))
 
 
+@query(f"""
+    SELECT DISTINCT 'context_id' AS kind, "contextId" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'context' AS kind, "contextId" || '|' || "contextDescription" || '|' || "contextVersion" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'concept_code' AS kind, "codingSystemId" || '|' || "codingSystemDescription" || '|' || "conceptCode" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'system' AS kind, "codingSystemId" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'system_name' AS kind, "codingSystemId" || '|' || "codingSystemDescription" || '|' || "conceptName" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'context_name' AS kind, "contextId" || '|' || "conceptName" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'concept_names' AS kind, "conceptName" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'contexts' AS kind, "contextId" || '|' || "contextDescription" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'codings' AS kind, "codingSystemId" || '|' || "codingSystemDescription" AS found FROM {REL_SQL} UNION ALL
+    SELECT DISTINCT 'codes' AS kind, "conceptCode" AS found FROM {REL_SQL}""")
+def ontology_search_kinds(spark, d):
+    """The other ten searches, one after another."""
+    out = None
+    for kind, cols in ontology.SEARCHES.items():
+        if kind not in ("ontologies", "context_name_system"):
+            part = ontology.search(relation(spark), kind).select(F.lit(kind).alias("kind"), F.concat_ws("|", *cols).alias("found"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT DISTINCT p_type AS "conceptCode", 'urn:type' AS "codingSystemId", 'parts' AS "table", 'code' AS codefield FROM part""")
+def tagged_codes(spark, d):
+    flat = T(spark, d, "part").select(F.col("p_type").alias("code_standard_id"), F.lit("urn:type").alias("code_standard_codingSystemId")).distinct()
+    return ontology.tagged_codes(flat, "code", "parts")
+
+
+@query(f"""SELECT DISTINCT "contextDescription" FROM {REL_SQL} WHERE regexp_matches("contextDescription", '^context', 'i') ORDER BY 1 LIMIT 40""")
+def ontology_descriptions(spark, d):
+    return ontology.descriptions(relation(spark), "^context", "contextDescription")
+
+
 @query(f"""SELECT "contextId", "codingSystemId", "codingSystemDescription", count(DISTINCT "conceptName") AS count FROM {REL_SQL} GROUP BY 1, 2, 3""")
 def codingsystem_summary(spark, d):
     return ontology.coding_system_summary(relation(spark))

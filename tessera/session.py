@@ -48,7 +48,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder for a local session; an error on a cluster, whose executors would not see it."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="tessera-")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +41,9 @@ def row_count(spark: SparkSession, table: str | None) -> int | None:
 def write(df: DataFrame, table: str, partition_by: Sequence[str] = (), mode: str = "overwrite", comment: str | None = None) -> DataFrame:
     """Write a table and return it read again.
 
-    An overwrite goes through a staging table, so that a frame may replace the table it reads; the staging
-    table goes in any case.  A partition column that the frame lacks is an error.
+    An overwrite goes through a staging table, so that a frame may replace the table it reads.  The staging table
+    goes when the rows are in their place, or if it could not be written itself; if they could not be moved, it is the only whole copy and
+    stays, named in the error.  A partition column that the frame lacks is an error.
     """
     if missing := [c for c in partition_by if c not in df.columns]:
         raise ValueError(f"no columns {missing} to partition {table} by")
@@ -56,9 +57,14 @@ def write(df: DataFrame, table: str, partition_by: Sequence[str] = (), mode: str
         temp = f"{table}_stage_{uuid.uuid4().hex[:8]}"
         try:
             save(df, temp, "errorifexists")
-            save(spark.table(temp), table, "overwrite")
-        finally:
+        except Exception:
             drop(spark, temp)
+            raise
+        try:
+            save(spark.table(temp), table, "overwrite")
+        except Exception as e:
+            raise RuntimeError(f"{table} could not be overwritten; its new rows are kept in {temp}") from e
+        drop(spark, temp)
     if comment:
         spark.sql(f"COMMENT ON TABLE {_name(table)} IS :c", args={"c": comment})
     spark.catalog.refreshTable(table)
@@ -69,11 +75,11 @@ def write_if_any(df: DataFrame, table: str, **options) -> DataFrame | None:
     return None if df.isEmpty() else write(df, table, **options)
 
 
-def write_all(frames: Mapping[str, tuple[DataFrame | None, str]], skip_empty: bool = True) -> dict[str, int | None]:
-    """Write {name: (frame, table)}: rows of each, None where there was nothing to write."""
+def write_all(frames: Mapping[str, tuple[DataFrame | None, str]], skip_empty: bool = True, clean: Collection[str] = ()) -> dict[str, int | None]:
+    """Write {name: (frame, table)}: rows of each, None where there was nothing to write or the name is in ``clean`` (unchanged since its last write)."""
     out: dict[str, int | None] = {}
     for name, (df, table) in frames.items():
-        if df is None or (skip_empty and df.isEmpty()):
+        if name in clean or df is None or (skip_empty and df.isEmpty()):
             out[name] = None
         else:
             out[name] = write(df, table).count()
@@ -122,6 +128,12 @@ def to_pandas(df: DataFrame | None, limit: int | None = None) -> pd.DataFrame:
     return pd.DataFrame() if df is None else (df.limit(limit) if limit else df).toPandas()
 
 
+def from_pandas(spark: SparkSession, frame: pd.DataFrame, table: str | None = None, **options) -> DataFrame:
+    """A pandas frame as a DataFrame, written to a table if one is named."""
+    df = spark.createDataFrame(frame)
+    return write(df, table, **options) if table else df
+
+
 def query(spark: SparkSession, text: str, **args: object) -> DataFrame:
     """SQL text with named parameters, never formatted into it."""
     return spark.sql(text, args=args or None)

@@ -224,3 +224,43 @@ def test_streams(spark, tmp_path):
     q = live_index.live_counts(stream(), "ts", "1 day", "1 day").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(r["count"] for r in spark.table("counts").collect()) == ev.count()
+
+
+def test_failed_overwrite_keeps_the_new_rows(spark, monkeypatch):
+    """If the second save fails, the staging table is the only whole copy: it stays, and the error names it."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    t = "store_fail"
+    storage.drop(spark, t)
+    storage.write(spark.createDataFrame([(1, "a")], "k int, v string"), t)
+    real = DataFrameWriter.saveAsTable
+
+    def failing(self, name, *a, **k):
+        if name == t:
+            spark.sql(f"TRUNCATE TABLE {t}")
+            raise OSError("disk gone")
+        return real(self, name, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", failing)
+    with pytest.raises(RuntimeError, match="store_fail_stage_") as e:
+        storage.write(spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string"), t)
+    monkeypatch.undo()
+    kept = str(e.value).rsplit(" ", 1)[1]
+    assert sorted(map(tuple, spark.table(kept).collect())) == [(2, "b"), (3, "c")]
+    for x in (t, kept):
+        storage.drop(spark, x)
+
+
+def test_clean_frames_distinct_writes_and_lookups(spark):
+    import pandas as pd
+
+    from tessera.sources.catalog import lookup
+
+    df = spark.createDataFrame([(1, "f"), (1, "f"), (2, "m")], "personid int, gender string")
+    assert storage.write_all({"a": (df, "store_clean"), "b": (df, "store_dirty")}, clean={"a"}) == {"a": None, "b": 3}
+    assert not storage.exists(spark, "store_clean")
+    assert storage.write_distinct(df, "lookup_gender").count() == 2
+    assert sorted(map(tuple, lookup(spark, "default", "gender", "lookup_{field}").collect())) == [(1, "f"), (2, "m")]
+    assert storage.from_pandas(spark, pd.DataFrame({"k": [1, 2]}), "store_pandas").count() == 2
+    for x in ("store_dirty", "lookup_gender", "store_pandas"):
+        storage.drop(spark, x)

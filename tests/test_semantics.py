@@ -294,3 +294,37 @@ def test_empty_frames(spark, stays, onto):
     assert indexing.index_table(none, "person", "start", "s", max_gap=3).count() == 0
     assert profiling.attrition(none, "person", ["start", "stop"]).first().n_rows == 0
     assert measurements.distill(none, "tag", "start", ["person"]).count() == 0
+
+
+def test_bounded_vocabularies(spark, monkeypatch):
+    from tessera.operators import analytics, matching, ontology
+
+    df = spark.createDataFrame([(i, f"v{i}", float(i)) for i in range(6)], "k int, v string, x double")
+    spark.conf.set("spark.sql.pivotMaxValues", "5")
+    try:
+        with pytest.raises(ValueError, match="more than 5"):
+            analytics.pivot_counts(df, ["k"], "v", ["k"])
+        assert analytics.pivot_counts(df.where("k < 5"), ["k"], "v", ["k"]).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+    monkeypatch.setattr(ontology, "CROSSWALK_IDS", 5)
+    with pytest.raises(ValueError, match="coding systems"):
+        ontology.crosswalk(df.select(F.col("v").alias("codingSystemId")), df.select(F.col("v").alias("codingSystemId")))
+
+
+def test_counts_read_the_source_twice(spark):
+    """Once for the three grains, once for the persons of each group."""
+    from tessera.plans import catalogue
+
+    plan = catalogue.queries()["ontology_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera import session
+
+    assert session.own_folder(spark)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.own_folder(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077")))
