@@ -8,7 +8,6 @@ own tasks.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import own_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset a temporary one, in a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
+        found = own_folder(spark)
         spark.conf.set("tessera.shared.dir", found)
     return found.rstrip("/")
 
@@ -39,6 +40,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_measured(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`stage`, and aggregates of the rows written."""
+    df = stage(df, label)
+    return df, df.agg(*metrics).first().asDict()
+
+
 def utf8(col: Column | str) -> Column:
     """The text's UTF-8 bytes; a null text is empty."""
     col = F.col(col) if isinstance(col, str) else col

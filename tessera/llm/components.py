@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage_measured
 
 
-def _signature(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
-    return r["n"], r["x"], r["s"]
+def _staged(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and a signature of them."""
+    h = F.xxhash64("u", "v")
+    edges, seen = stage_measured(edges, "edges", F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_003).alias("s"))
+    return edges, (seen["n"], seen["x"], seen["s"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,13 +34,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     no task more than its share; each round is staged, and the loop ends when a
     round changes nothing.  Roots that are their own are left out.
     """
-    edges = stage(edges.distinct(), "edges")
-    seen = _signature(edges)
+    edges, seen = _staged(edges.distinct())
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = stage(_small_star(_large_star(edges)), "edges")
-        now = _signature(edges)
+        edges, now = _staged(_small_star(_large_star(edges)))
         if now == seen:
             break
         seen = now

@@ -175,15 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "d
     some = labelled_sample(docs, labels, "quality", most, None, id_col, text_col)
     some = some.groupBy("k", "y").agg(F.min_by("raw", F.struct(F.xxhash64("raw"), "raw")).alias("raw")).select("y", "raw", "k")  # one row of a repeated id
     got = some.mapInArrow(run, "k string, y int, idx binary, val binary").toArrow()  # a row has at most SIZE pairs
-    got = got.take(np.array(sorted(range(len(got)), key=lambda i: (got["k"][i].as_py(), got["y"][i].as_py())), int))
-    place = np.arange(len(got))
+    keys = list(zip(got["k"].to_pylist(), got["y"].to_pylist(), strict=True))
+    place, nth = np.array(sorted(range(len(keys)), key=keys.__getitem__), int), np.arange(len(keys))
 
     def part(at: np.ndarray) -> tuple[Sparse, np.ndarray]:
         rows = got.take(at)
         (idx, offs), (val, _) = (buffer_of(rows[c]) for c in ("idx", "val"))
         return Sparse(offs // 4, idx.view(np.int32), val.view(np.float32)), rows["y"].to_numpy().astype(float)
 
-    held, fit = part(place[::5]), part(place[place % 5 > 0])
+    held, fit = part(place[::5]), part(place[nth % 5 > 0])
     del got
     if any(len(set(y)) < 2 for _, y in (held, fit)):
         return None

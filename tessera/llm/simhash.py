@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stage, utf8
+from .common import fresh, stage, stage_measured, utf8
 from .components import components
 
 SEGMENTS = 7
@@ -131,8 +131,8 @@ def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
         pairs = a.join(b, ["i", "key"]).where((F.col("u") > F.col("v")) & (F.lit(True) if depth else budget) & (F.bit_count(x) <= DISTANCE)).select("u", "v")
         found = pairs if found is None else found.union(pairs)
         if not last:
-            rows = stage(sized.where(F.col("n") > group).select("fp", F.col("i").alias("of")), "hot")
-            if rows.isEmpty():
+            rows, seen = stage_measured(sized.where(F.col("n") > group).select("fp", F.col("i").alias("of")), "hot", F.count(F.lit(1)).alias("n"))
+            if not seen["n"]:
                 break
     return found.distinct()
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 _RNG = np.random.default_rng(20240611)
 BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
