@@ -33,8 +33,8 @@ from .common import pieces, stage, utf8
 MAGIC = b"TKB2"
 BLOB_BYTES = 4 << 20
 #: Pieces that a worker remembers; more make it forget all of them.
-CACHE_PIECES = 1_000_000
-CHUNK = 8 << 20
+CACHE_PIECES = 500_000
+CHUNK = 4 << 20
 #: Stands between the words of a chunk; words that hold it themselves are odd.
 BETWEEN = "\x01"
 PLAIN = re.compile("[\x01!-~À-ÖØ-öø-ÿ]*")
