@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_measured
+from .common import stage
 
 
-def _staged(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, written, and a signature of them."""
-    h = F.xxhash64("u", "v")
-    edges, seen = stage_measured(edges, "edges", F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_003).alias("s"))
-    return edges, (seen["n"], seen["x"], seen["s"])
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge to its root or is a root itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg((F.sum("up") + F.max("down")).alias("n")).where("n > 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,17 +30,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) edges of longs, u > v, to (node, root): every node's smallest reachable node.
 
     Only mins are kept for a node, never its list of neighbours, so a hub costs
-    no task more than its share; each round is staged, and the loop ends when a
-    round changes nothing.  Roots that are their own are left out.
+    no task more than its share; each round is staged, and the loop ends when the edges are
+    stars.  Roots that are their own are left out.
     """
-    edges, seen = _staged(edges.distinct())
+    edges = stage(edges.distinct(), "edges")
     for _ in range(rounds):
-        if not seen[0]:
+        if _settled(edges):
             break
-        edges, now = _staged(_small_star(_large_star(edges)))
-        if now == seen:
-            break
-        seen = now
+        edges = stage(_small_star(_large_star(edges)), "edges")
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

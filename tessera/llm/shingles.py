@@ -3,8 +3,8 @@
 Two sets of sizes n and k with a similarity of 4/5 or more share at least 4/5 of the larger, so
 under any one order of all shingles the first n - ceil(4n / 5) + 1 of each have one in common.  They share 4/9 of
 n + k, so after the first common shingle each has that many left (the positional filter): in the smaller set it is among the first
-n / 9 + 1.  The order puts shingles that are frequent in a sample last; the sample decides how many
-candidates there are, not which pairs are found.
+n / 9 + 1.  The order puts frequent shingles last: those of a sample, and then those that come first in more than
+``HOT`` of all sets by the sample's order.  The order decides how many candidates there are, not which pairs are found.
 
 Candidates meet by odd sketches first: the bits that differ are never more than the shingles that differ,
 of which similar sets have at most a ninth of n + k.  Only what passes is compared by whole sets.
@@ -31,11 +31,13 @@ WIDTH = 5
 #: Key groups up to this size are joined with themselves; in larger ones all are compared with a pivot first, so that a cluster
 #: of near copies costs a pair for each of its members and not one for each two.
 GROUP = 2
-PIVOTS = 4
+PIVOTS = 2
 #: Rows of texts, or of pairs of sets, that a worker holds at once.
 ROWS = 1_000
-#: Sets whose shingles set the order, and the most shingles that count as frequent.
+#: Sets whose shingles set the first order, and the most shingles that count as frequent, in the sample and in all sets.
 SAMPLE, FREQUENT = 5_000, 200_000
+#: Rows of a key beyond which the second order puts it last.
+HOT = 4
 #: The least number of bits of a sketch; a larger set has a bit or more for each shingle.
 SKETCH = 512
 
@@ -151,12 +153,23 @@ def _sample_order(rows: DataFrame, text: str, sig: str, n: int) -> Order:
 
     counts = some.select(sig, text).mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("met")).where("met > 2")
     got = counts.orderBy(F.desc("met"), "key").limit(FREQUENT).toArrow().sort_by("key")
-    return Order(got["key"].to_numpy(), got["met"].to_numpy())
+    return Order(got["key"].to_numpy(), got["met"].to_numpy() * max(1, n // SAMPLE))
+
+
+def _whole_order(keys: DataFrame, order: Order) -> Order:
+    """``order`` with the counts of the keys that more than ``HOT`` rows of different sets gave by it."""
+    met = keys.groupBy("key").agg(F.count("*").alias("met"), F.min("sig").alias("a"), F.max("sig").alias("b")).where((F.col("met") > HOT) & (F.col("a") != F.col("b")))
+    got = met.select("key", "met").orderBy(F.desc("met"), "key").limit(FREQUENT).toArrow()
+    found, counts = (np.concatenate([x, got[c].to_numpy()]) for x, c in zip(order, ("key", "met"), strict=True))
+    by = np.lexsort((counts, found))
+    found, counts = found[by], counts[by]
+    last = np.append(found[1:] != found[:-1], True)[: len(found)]  # of two counts the larger
+    return Order(found[last], counts[last])
 
 
 def _keys(rows: DataFrame, text: str, sig: str, order: Order) -> DataFrame:
     """key, sig, n, pos: a row for each shingle of each set's prefix, with its place there; a task gives a set once."""
-    shared = rows.sparkSession.sparkContext.broadcast(order)  # at most FREQUENT shingles
+    shared = rows.sparkSession.sparkContext.broadcast(order)  # at most twice FREQUENT shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -225,7 +238,8 @@ def links(rows: DataFrame, text: str, sig: str, sets: DataFrame, file: str, row:
     leaves the group; a group within one component is done.  What is left after some
     rounds is compared, begins of smaller sets with all others, where the components differ.
     """
-    keys = stage(_keys(rows, text, sig, _sample_order(rows, text, sig, sets.count())), "keys")
+    order = _sample_order(rows, text, sig, sets.count())
+    keys = stage(_keys(rows, text, sig, _whole_order(stage(_keys(rows, text, sig, order).select("key", "sig"), "first"), order)), "keys")
     begins = 9 * F.col("pos") <= F.col("n")  # the only places where a smaller set's first common shingle can be
     shared = keys.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.max(begins).alias("c")).where("a != b and c").select("key")
     held = stage(keys.join(stage(shared, "shared"), "key").distinct(), "held")
@@ -239,10 +253,10 @@ def links(rows: DataFrame, text: str, sig: str, sets: DataFrame, file: str, row:
     check = lambda found: _verified(found, rows, text, sig, sets, file, row)
     small = sized.where(F.col("size") <= group).drop("size")
     new = check(small.where(begins).join(other(small), "key").where(once & near).select(*ends))
-    edges = known if new is None else known.union(new)
+    joined = lambda edges, new: components(edges if new is None else edges.union(new))
     count = F.count(F.lit(1)).alias("n")
     left, seen = stage_measured(sized.where(F.col("size") > group).drop("size"), "left", count)
-    roots = components(edges)
+    roots = joined(known, new)
     for k in range(PIVOTS + 1):
         if not seen["n"]:
             break
@@ -263,8 +277,7 @@ def links(rows: DataFrame, text: str, sig: str, sets: DataFrame, file: str, row:
             met = met.where(once & (9 * differ <= F.col("n") + F.col("m")))
         new = check(met.where((F.col("root") != F.col("other")) & near).select(*ends))
         if new is not None:
-            edges = edges.union(new)
-            roots = components(edges)
+            roots = joined(roots.select(F.col("node").alias("u"), F.col("root").alias("v")), new)
     return roots
 
 
