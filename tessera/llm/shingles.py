@@ -239,7 +239,7 @@ def links(rows: DataFrame, text: str, sig: str, sets: DataFrame, file: str, row:
     rounds is compared, begins of smaller sets with all others, where the components differ.
     """
     order = _sample_order(rows, text, sig, sets.count())
-    keys = stage(_keys(rows, text, sig, _whole_order(stage(_keys(rows, text, sig, order).select("key", "sig"), "first"), order)), "keys")
+    keys = stage(_keys(rows, text, sig, _whole_order(_keys(rows, text, sig, order), order)), "keys")
     begins = 9 * F.col("pos") <= F.col("n")  # the only places where a smaller set's first common shingle can be
     shared = keys.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.max(begins).alias("c")).where("a != b and c").select("key")
     held = stage(keys.join(stage(shared, "shared"), "key").distinct(), "held")
