@@ -80,19 +80,23 @@ def baseline_flags(source: DataFrame, patients: DataFrame, date: str, ids: Seque
 def features(df: DataFrame, codes: Sequence[str], value: str, date: str, ids: Sequence[str], display: str | None = None, unit: str | None = None, least: int = 1) -> DataFrame:
     """Statistics and trends of every entity and test; statistics and trends share one grouping, so units never fan out.
 
-    One shuffle by the grouping serves the lag window and the aggregation.  Same-day values follow each other by value.
+    One shuffle by the grouping serves the windows and the aggregation.  Same-day values follow each other by value.
+    Means and deviation are taken over the windows, in that order: a sum of doubles depends on it in its last digit, and
+    an aggregation adds up parts.
     """
     if unit and unit not in df.columns:
         raise ValueError(f"no unit column {unit!r}")
     groups = list(dict.fromkeys([*ids, *codes, *([display] if display else []), *([unit] if unit else [])]))
     rows = df.withColumn("__v", F.expr(f"try_cast(`{value}` as double)"))
-    order = Window.partitionBy(*groups, F.col("__v").isNull()).orderBy(date, "__v")
+    order = Window.partitionBy(*groups).orderBy(F.col("__v").isNull(), date, "__v")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gap = F.datediff(F.col(date), F.lag(date).over(order))
     rows = rows.withColumn("__c", F.when(F.col("__v").isNotNull() & (gap > 0), (F.col("__v") - F.lag("__v").over(order)) / gap))
+    rows = rows.withColumns({"__mean": F.avg("__v").over(whole), "__dev": F.stddev("__v").over(whole), "__change": F.avg("__c").over(whole)})
     out = rows.groupBy(*groups).agg(
         F.count("*").alias("measurement_count"), F.count_distinct(date).alias("distinct_dates"), F.min(date).alias("first_date"), F.max(date).alias("last_date"),
-        F.datediff(F.max(date), F.min(date)).alias("date_span"), F.avg("__v").alias("mean_value"), F.stddev("__v").alias("stddev_value"), F.min("__v").alias("min_value"),
-        F.max("__v").alias("max_value"), F.percentile("__v", F.lit(0.5)).alias("median_value"), F.avg("__c").alias("avg_daily_change"), F.min("__c").alias("min_daily_change"), F.max("__c").alias("max_daily_change"),
+        F.datediff(F.max(date), F.min(date)).alias("date_span"), F.max("__mean").alias("mean_value"), F.max("__dev").alias("stddev_value"), F.min("__v").alias("min_value"),
+        F.max("__v").alias("max_value"), F.percentile("__v", F.lit(0.5)).alias("median_value"), F.max("__change").alias("avg_daily_change"), F.min("__c").alias("min_daily_change"), F.max("__c").alias("max_daily_change"),
     ).where(F.col("measurement_count") >= least)
     spread, size = F.col("max_value") - F.col("min_value"), F.abs("mean_value")
     change = F.col("avg_daily_change")

@@ -168,6 +168,26 @@ def test_features_do_not_fan_out(spark):
         measurements.features(df, ["code"], "v", "d", ["person"], unit="units")
 
 
+def test_features_round_like_the_sql(spark, tmp_path):
+    """Means that lie on a tie of the last digit: sums must be taken in the order of days and values."""
+    import duckdb
+
+    from tessera.plans import catalogue
+
+    values = {
+        54: [(3, 16.15), (5, 21.77), (6, 63.5), (9, 31.47), (11, 3.14), (11, 19.26), (11, 148.2), (14, 27.8), (19, 21.44), (23, 6.64), (23, 34.72), (27, 3.23)],
+        94: [(4, 33.22), (6, 44.35), (9, 59.82), (13, 100.19), (15, 11.77), (17, 21.97), (19, 39.4), (21, 6.82), (21, 52.72), (24, 1.4)],
+    }
+    rows = [(u, "view", dt.datetime(2024, 1, 1) + dt.timedelta(days=d), v) for u, x in values.items() for d, v in x]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp, value double").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{path}/*.parquet'")
+    want = {r[0]: r[1] for r in con.sql(f"select user_id, avg_daily_change from ({catalogue.oracle_sql()['measurement_features']})").fetchall()}
+    got = {r.user_id: r.avg_daily_change for r in catalogue.measurement_features(spark, str(tmp_path)).collect()}
+    assert got == want == {54: -4.159937, 94: -5.372188}
+
+
 def test_gamma_closed_forms():
     for k in (1, 2, 5, 30):
         for x in (0.01, 0.5, 1.0, 4.0, 40.0, 90.0):
