@@ -77,10 +77,12 @@ def baseline_flags(source: DataFrame, patients: DataFrame, date: str, ids: Seque
     return out.where("baseline_period") if only_baseline else out
 
 
-def features(df: DataFrame, codes: Sequence[str], value: str, date: str, ids: Sequence[str], display: str | None = None, unit: str | None = None, least: int = 1) -> DataFrame:
+def features(df: DataFrame, codes: Sequence[str], value: str, date: str, ids: Sequence[str], display: str | None = None, unit: str | None = None, least: int = 1, skip_nulls: bool = True) -> DataFrame:
     """Statistics and trends of every entity and test; statistics and trends share one grouping, so units never fan out.
 
     One shuffle by the grouping serves the windows and the aggregation.  Same-day values follow each other by value.
+    Changes are taken between values that are numbers; without ``skip_nulls`` a missing value comes last on its day and there is
+    no change to or from it.
     Means and deviation are taken over the windows, in that order: a sum of doubles depends on it in its last digit, and
     an aggregation adds up parts.
     """
@@ -88,7 +90,8 @@ def features(df: DataFrame, codes: Sequence[str], value: str, date: str, ids: Se
         raise ValueError(f"no unit column {unit!r}")
     groups = list(dict.fromkeys([*ids, *codes, *([display] if display else []), *([unit] if unit else [])]))
     rows = df.withColumn("__v", F.expr(f"try_cast(`{value}` as double)"))
-    order = Window.partitionBy(*groups).orderBy(F.col("__v").isNull(), date, "__v")
+    by = [F.col(date).asc_nulls_last(), F.col("__v").asc_nulls_last()]
+    order = Window.partitionBy(*groups).orderBy(*([F.col("__v").isNull()] if skip_nulls else []), *by)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gap = F.datediff(F.col(date), F.lag(date).over(order))
     rows = rows.withColumn("__c", F.when(F.col("__v").isNotNull() & (gap > 0), (F.col("__v") - F.lag("__v").over(order)) / gap))

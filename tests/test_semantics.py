@@ -205,6 +205,28 @@ def test_features_keep_the_sign_of_zero(spark, tmp_path):
     assert got == want and "-0.0," in want[1] and "-0.0," not in want[2] + want[3]
 
 
+def test_features_of_nulls_like_the_sql(spark, tmp_path):
+    """The SQL takes no change to or from a missing value; the operator by itself skips it."""
+    import duckdb
+
+    from tessera.plans import catalogue
+
+    day = lambda i: None if i is None else dt.datetime(2024, 1, 1 + i)
+    series = {1: [(0, 1.0), (1, None), (2, 5.0), (4, 4.0)], 2: [(0, 1.0), (0, None), (1, 3.0), (2, 7.0)], 3: [(None, 9.0), (0, 1.0), (3, 2.5), (None, 0.25)], 4: [(0, None), (1, None), (2, None)], None: [(0, 1.0), (1, 2.0), (5, 4.5)]}
+    rows = [(u, "view", day(i), v) for u, x in series.items() for i, v in x]
+    path = str(tmp_path / "events.parquet")
+    df = spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp, value double")
+    df.write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{path}/*.parquet'")
+    sql = catalogue.oracle_sql()["measurement_features"]
+    want = {r[0]: r for r in con.sql(sql).fetchall()}
+    got = {r.user_id: tuple(r) for r in catalogue.measurement_features(spark, str(tmp_path)).select(con.sql(sql).columns).collect()}
+    assert got == want and len(want) == 5
+    skipped = {r.user_id: r.avg_daily_change for r in measurements.features(df, ["event_type"], "value", "ts", ["user_id"]).collect()}
+    assert skipped[1] == 0.75 and skipped[2] == 3.0 and skipped[4] is None
+
+
 def test_gamma_closed_forms():
     for k in (1, 2, 5, 30):
         for x in (0.01, 0.5, 1.0, 4.0, 40.0, 90.0):
